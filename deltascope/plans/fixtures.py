@@ -138,3 +138,157 @@ def _delta_sql(pick: int, record: int, kind: int, shift: int) -> str:
 
 
 ORDER_DELTAS = f"{_delta_sql(11, 12, 13, 0)} UNION ALL {_delta_sql(14, 15, 16, 50)}"
+
+
+# A log of query texts: one per order, from a template filled with the order's values.
+QUERY_TEMPLATES = (
+    "SELECT o.o_orderkey, c.c_name FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey "
+    "WHERE c.c_custkey = {c} LIMIT 10",
+    "SELECT COUNT(*) FROM orders WHERE o_orderstatus = '{s}'",
+    "select o_orderpriority, count(*) as n from Orders group by o_orderpriority -- limit 5",
+    "SELECT credit_limit FROM accounts WHERE id = {k}",
+    "SELECT p_name FROM part WHERE p_name LIKE '%RING%' AND p_size > 10",
+    "WITH t AS (SELECT * FROM lineitem) DELETE FROM orders WHERE o_orderkey = {k}",
+    "DELETE FROM orders WHERE o_orderkey = {k}; SELECT 1",
+    "SELECT l.l_orderkey, SUM(l.l_extendedprice) AS revenue FROM lineitem l INNER JOIN orders o "
+    "ON l.l_orderkey = o.o_orderkey AND l.l_suppkey = o.o_custkey WHERE o.o_orderpriority = '{p}' GROUP BY l.l_orderkey",
+    "SELECT c_name\nFROM customer\nWHERE c_mktsegment = \\\"BUILDING\\\"\n  AND c_nationkey = {c}",
+    "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name LIKE '%xyz%'",
+    "SELECT AVG(o_totalprice) FROM orders WHERE LOWER(o_orderstatus) = '{s}'",
+    "  ;  ; UPDATE customer SET c_acctbal = 0 WHERE c_custkey = {c}",
+)
+
+
+def _fill(index, row):
+    template = F.element_at(F.array(*[F.lit(t) for t in QUERY_TEMPLATES]), index.cast("int") + 1)
+    for mark, col in row.items():
+        template = F.replace(template, F.lit(mark), F.col(col).cast("string"))
+    return template
+
+
+def query_log(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, user_id, query, predicted, response) for every order."""
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    row = {"{k}": "o_orderkey", "{c}": "o_custkey", "{s}": "o_orderstatus", "{p}": "o_orderpriority"}
+    key, n = F.col("o_orderkey"), len(QUERY_TEMPLATES)
+    gold = _fill(key % n, row)
+    predicted = _fill(F.when(hash01(31, key) < 0.5, key % n).otherwise((key + 1) % n), row)
+    logged = orders.select(key.alias("query_id"), F.col("o_custkey").alias("user_id"),
+                           gold.alias("query"), predicted.alias("predicted"))
+    draw = hash01(32, F.col("query_id"))
+    response = (F.when(draw < 0.3, F.col("query"))
+                .when(draw < 0.6, F.concat(F.lit("Sure.\n```sql\n"), F.col("query"), F.lit("\n```\nDone.")))
+                .otherwise(F.concat(F.lit("```sql SELECT 1```\nor\n```sql\n "), F.col("query"), F.lit("  \n```"))))
+    return logged.withColumn("response", response)
+
+
+def _template_sql(index: str) -> str:
+    quoted = ", ".join("'" + t.replace("'", "''") + "'" for t in QUERY_TEMPLATES)
+    text = f"([{quoted}])[CAST({index} AS INT) + 1]"
+    for mark, col in (("{k}", "o_orderkey"), ("{c}", "o_custkey"), ("{s}", "o_orderstatus"), ("{p}", "o_orderpriority")):
+        text = f"replace({text}, '{mark}', CAST({col} AS VARCHAR))"
+    return text
+
+
+_N = len(QUERY_TEMPLATES)
+# CTE qlog, to follow WITH
+QUERY_LOG = f"""qlog AS (SELECT *, CASE WHEN {u(32, 'query_id')} < 0.3 THEN query
+  WHEN {u(32, 'query_id')} < 0.6 THEN 'Sure.' || chr(10) || '```sql' || chr(10) || query || chr(10) || '```' || chr(10) || 'Done.'
+  ELSE '```sql SELECT 1```' || chr(10) || 'or' || chr(10) || '```sql' || chr(10) || ' ' || query || '  ' || chr(10) || '```' END AS response
+  FROM (SELECT o_orderkey AS query_id, o_custkey AS user_id, {_template_sql(f'o_orderkey % {_N}')} AS query,
+    {_template_sql(f"CASE WHEN {u(31, 'o_orderkey')} < 0.5 THEN o_orderkey % {_N} ELSE (o_orderkey + 1) % {_N} END")} AS predicted
+  FROM orders))"""
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as samples: (doc_id, db_id, question, evidence)."""
+    return read_table(spark, sf, "documents").select(
+        "doc_id", F.col("lang").alias("db_id"), F.concat(F.lit("q"), F.col("doc_id")).alias("question"),
+        F.col("source").alias("evidence"))
+
+
+SAMPLES = "SELECT doc_id, lang AS db_id, 'q' || doc_id AS question, source AS evidence FROM documents"
+
+
+def attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Four attempts per customer: (c_custkey, attempt, is_valid, call_failed, error)."""
+    tries = read_table(spark, sf, "customer").select(
+        "c_custkey", F.explode(F.expr("sequence(1L, 4L)")).alias("attempt"))
+    key = F.concat_ws("-", F.col("c_custkey").cast("string"), F.col("attempt").cast("string"))
+    failed = hash01(8, key) < 0.1
+    valid = ~failed & (hash01(7, key) < 0.4)
+    error = F.when(failed, F.concat(F.lit("call failed at "), F.col("attempt"))).when(
+        ~valid, F.concat(F.lit("invalid at "), F.col("attempt")))
+    return tries.select("*", valid.alias("is_valid"), failed.alias("call_failed"), error.alias("error"))
+
+
+_AKEY = "c_custkey || '-' || attempt"
+ATTEMPTS = f"""SELECT *, CASE WHEN call_failed THEN 'call failed at ' || attempt WHEN NOT is_valid THEN 'invalid at ' || attempt END AS error
+FROM (SELECT *, NOT call_failed AND {u(7, _AKEY)} < 0.4 AS is_valid FROM (
+  SELECT *, {u(8, _AKEY)} < 0.1 AS call_failed FROM (SELECT c_custkey, unnest(range(1, 5)) AS attempt FROM customer)))"""
+
+
+# Declared schema of the database: files carry no keys.
+SCHEMA = {
+    "region": "r_regionkey INTEGER, r_name TEXT",
+    "nation": "n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER",
+    "customer": "c_custkey INTEGER, c_name TEXT, c_nationkey INTEGER, c_acctbal REAL, c_mktsegment TEXT",
+    "supplier": "s_suppkey INTEGER, s_name TEXT, s_nationkey INTEGER, s_acctbal REAL",
+    "part": "p_partkey INTEGER, p_name TEXT, p_brand TEXT, p_type TEXT, p_size INTEGER, p_retailprice REAL",
+    "orders": "o_orderkey INTEGER, o_custkey INTEGER, o_orderstatus TEXT, o_totalprice REAL, "
+              "o_orderdate TIMESTAMP, o_orderpriority TEXT",
+    "lineitem": "l_orderkey INTEGER, l_partkey INTEGER, l_suppkey INTEGER, l_linenumber INTEGER, l_quantity REAL, "
+                "l_extendedprice REAL, l_discount REAL, l_tax REAL, l_returnflag TEXT, l_linestatus TEXT, "
+                "l_shipdate TIMESTAMP",
+    "events": "event_id INTEGER, ts TIMESTAMP, user_id INTEGER, event_type TEXT, value REAL, props TEXT",
+    "documents": "doc_id INTEGER, text TEXT, lang TEXT, source TEXT, n_chars INTEGER",
+    "embeddings": "vec_id INTEGER, embedding ARRAY, label INTEGER",
+    "pages": "page_id INTEGER, url TEXT, html TEXT",
+    "benchmark": "item_id INTEGER, text TEXT",
+    "labels": "doc_id INTEGER, quality INTEGER, toxic INTEGER",
+    "conversations": "conv_id INTEGER, turn INTEGER, role TEXT, text TEXT",
+}
+PRIMARY_KEYS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"],
+    "part": ["p_partkey"], "orders": ["o_orderkey"], "events": ["event_id"], "documents": ["doc_id"],
+    "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"],
+    "conversations": ["conv_id", "turn"], "lineitem": [],
+}
+# (table, column, referenced table, referenced column or None = its first key column)
+FOREIGN_KEYS = [
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", None),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", None),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"),
+]
+
+
+def schema_columns() -> list[tuple[str, str, str, int, bool]]:
+    """(table, column, type, ordinal, is key) of the declared schema."""
+    return [(t, *c.split(), i, c.split()[0] in PRIMARY_KEYS[t])
+            for t, cols in SCHEMA.items() for i, c in enumerate(cols.split(", "))]
+
+
+def quoted(value: object) -> str:
+    if value is None:
+        return "NULL"
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value).lower()
+
+
+CATALOG = ("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(quoted(v) for v in row) + ")" for row in schema_columns())
+           + ") v(table_name, column_name, type, ordinal, is_key)")
+FK_EDGES = ("SELECT * FROM (VALUES " + ", ".join(
+    "(" + ", ".join(quoted(v) for v in (t, c, rt, rc or PRIMARY_KEYS[rt][0])) + ")" for t, c, rt, rc in FOREIGN_KEYS)
+    + ") v(table_name, column_name, ref_table, ref_column)")
+
+
+def _as_text(column: str, kind: str) -> str:
+    return f"CAST(CAST({column} AS DECIMAL(18,4)) AS VARCHAR)" if kind == "REAL" else f"CAST({column} AS VARCHAR)"
+
+
+# every value of every column as (table_name, column_name, value)
+ALL_VALUES = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, {_as_text(c, kind)} AS value FROM {t}"
+    for t, c, kind, _, _ in schema_columns())
+COLUMN_STATS = f"""SELECT table_name, column_name, count(*) AS row_count, count(value) AS non_null,
+  count(DISTINCT value) AS distinct_count, count(*) - count(value) AS null_count FROM ({ALL_VALUES}) GROUP BY ALL"""
