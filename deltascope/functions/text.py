@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +30,15 @@ def _words(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    An expression named inside a lambda is computed anew for each element; a
+    lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def extract_sql_block(text: Column) -> Column:
     """Last fenced sql block, else the whole text, on one line with single spaces."""
     block = F.try_element_at(F.regexp_extract_all(text, F.lit(SQL_FENCE), 1), F.lit(-1))
@@ -73,30 +82,36 @@ def aliases(sql: Column) -> Column:
 
 def ngrams(sql: Column, n: int = 1) -> Column:
     """Distinct word n-grams without aliases and the word "as"."""
-    words = _without(tokens(sql), aliases(sql))
+    dropped = F.array_append(aliases(sql), F.lit("as"))
     if n <= 1:
-        return F.array_distinct(words)
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(
-        F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+        return F.array_except(tokens(sql), dropped)
+    words = let(F.struct(tokens(sql).alias("words"), dropped.alias("drop")),
+                lambda s: F.filter(s["words"], lambda w: ~F.array_contains(s["drop"], w)))
 
+    def grams(w: Column) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(
+            F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))
 
-def _without(words: Column, drop: Column) -> Column:
-    return F.filter(words, lambda w: (w != "as") & ~F.array_contains(drop, w))
+    return let(words, grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays taken as sets; 0 when both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(
-        F.size(F.array_intersect(a, b)).cast("double") / F.when(union > 0, union))
+    def ratio(s: Column) -> Column:
+        union = F.size(F.array_union(s["a"], s["b"]))
+        return F.coalesce(F.try_divide(F.size(F.array_intersect(s["a"], s["b"])).cast("double"), union), F.lit(0.0))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), ratio)
 
 
 def share_found(wanted: Column, given: Column) -> Column:
     """Share of the ``wanted`` set found in ``given``; 0 when nothing is wanted."""
-    size = F.size(F.array_distinct(wanted))
-    return F.when(size == 0, 0.0).otherwise(
-        F.size(F.array_intersect(wanted, given)).cast("double") / F.when(size > 0, size))
+    def ratio(s: Column) -> Column:
+        found = F.size(F.array_intersect(s["wanted"], s["given"])).cast("double")
+        return F.coalesce(F.try_divide(found, F.size(F.array_distinct(s["wanted"]))), F.lit(0.0))
+
+    return let(F.struct(wanted.alias("wanted"), given.alias("given")), ratio)
 
 
 def first_statement(sql: Column) -> Column:
@@ -122,17 +137,19 @@ def table_refs(sql: Column) -> Column:
 def join_pairs(sql: Column) -> Column:
     """Array of (left, right) column pairs equated in ON clauses, aliases resolved."""
     chain = F.array_join(F.regexp_extract_all(F.lower(sql), F.lit(ON_CHAIN), 1), " ; ")
-    refs = table_refs(sql)
     parts = F.arrays_zip(*[F.regexp_extract_all(chain, F.lit(COLUMN_EQUALITY), i).alias(name)
                            for i, name in enumerate(("lt", "lc", "rt", "rc"), start=1)])
 
-    def resolve(name: Column) -> Column:
-        hit = F.get(F.filter(refs, lambda r: r["alias"] == name), F.lit(0))["table"]
-        return F.coalesce(hit, name)
+    def resolved(s: Column) -> Column:
+        def table(name: Column) -> Column:
+            hit = F.get(F.filter(s["refs"], lambda r: r["alias"] == name), F.lit(0))["table"]
+            return F.coalesce(hit, name)
+
+        return F.transform(s["parts"], lambda p: F.struct(
+            F.concat_ws(".", table(p["lt"]), p["lc"]).alias("left"),
+            F.concat_ws(".", table(p["rt"]), p["rc"]).alias("right")))
 
-    return F.transform(parts, lambda p: F.struct(
-        F.concat_ws(".", resolve(p["lt"]), p["lc"]).alias("left"),
-        F.concat_ws(".", resolve(p["rt"]), p["rc"]).alias("right")))
+    return let(F.struct(parts.alias("parts"), table_refs(sql).alias("refs")), resolved)
 
 
 def conditions(sql: Column) -> Column:
