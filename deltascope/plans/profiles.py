@@ -9,6 +9,7 @@ from deltascope.operators import profile
 from deltascope.plans import fixtures as fx
 from deltascope.plans.fixtures import u
 from deltascope.plans.registry import query
+from deltascope.session import cut_lineage
 from deltascope.sources.tables import read_database, read_table
 
 ALL_COLUMNS = fx.schema_columns()
@@ -188,7 +189,7 @@ WITH {VALUE_DICTIONARY}, p AS ({PROBES})
 SELECT p.table_name, p.column_name, p.literal, min(value) AS match FROM p LEFT JOIN dict d
   ON p.table_name = d.table_name AND p.column_name = d.column_name AND contains(lower(value), lower(literal)) GROUP BY ALL""")
 def value_exists(spark, sf):
-    return profile.value_exists(value_dictionary_of(spark, sf), probes(spark, sf))
+    return profile.value_exists(cut_lineage(value_dictionary_of(spark, sf)), probes(spark, sf))
 
 
 @query("select_capped", f"""

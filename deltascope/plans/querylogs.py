@@ -12,6 +12,7 @@ from deltascope.plans.catalogs import WITH_USAGE
 from deltascope.plans.fixtures import u
 from deltascope.plans.profiles import VALUE_DICTIONARY, declared_catalog, value_dictionary_of
 from deltascope.plans.registry import query
+from deltascope.session import cut_lineage
 from deltascope.sources.tables import read_table
 
 LOG = "WITH " + fx.QUERY_LOG
@@ -159,7 +160,7 @@ SELECT table_name, column_name, CASE WHEN in_call AND NOT is_like THEN match ELS
 FROM m WHERE NOT (in_call OR is_like) OR match IS NOT NULL GROUP BY ALL""")
 def condition_literals(spark, sf):
     return querylog.condition_literals(fx.query_log(spark, sf).select("query_id", "query"),
-                                       declared_catalog(spark, sf), value_dictionary_of(spark, sf))
+                                       declared_catalog(spark, sf), cut_lineage(value_dictionary_of(spark, sf)))
 
 
 _WRITES = ", ".join(f"'{w}'" for w in text.WRITE_KEYWORDS)
