@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deltascope.sources.tables import spread
+
 # Thresholds and name parts of the column rules.
 SKIP_NAME_PARTS = ("_id", " id", "url", "email", "web", "time", "phone", "date", "address")
 MAX_NAME_CHARS = 5_000_000
@@ -59,7 +61,11 @@ def as_text(df: DataFrame, name: str) -> Column:
 
 def column_values(tables: Mapping[str, DataFrame],
                   columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Long form of the given (or all) columns; a name with commas is a compound key."""
+    """Long form of the given (or all) columns; a name with commas is a compound key.
+
+    ``tables`` must be scans: those of few pieces are spread, since every row
+    becomes one row per column.
+    """
     parts = []
     for table, df in tables.items():
         names = list(df.columns if columns is None else columns.get(table, ()))
@@ -67,7 +73,8 @@ def column_values(tables: Mapping[str, DataFrame],
             continue
         texts = [(F.concat_ws(",", *[as_text(df, p) for p in n.split(",")]) if "," in n else as_text(df, n)).alias(n)
                  for n in names]
-        parts.append(df.select(*texts).unpivot([], names, "column_name", "value")
+        needed = sorted({p for n in names for p in n.split(",")})
+        parts.append(spread(df.select(*needed)).select(*texts).unpivot([], names, "column_name", "value")
                      .select(F.lit(table).alias("table_name"), "column_name", "value"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -126,13 +133,28 @@ def dictionary_column() -> Column:
             | (F.col("distinct_count") < SMALL_COUNT))
 
 
+def listed(stats: DataFrame) -> dict[str, list[str]]:
+    """Names of the columns in ``stats``, by table; as many as the schema has columns."""
+    names: dict[str, list[str]] = {}
+    for table, column in stats.select("table_name", "column_name").sort("table_name", "column_name").collect():
+        names.setdefault(table, []).append(column)
+    return names
+
+
+def distinct_values(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Distinct non-NULL values of the named columns; the scan reads no other column."""
+    return column_values(tables, columns).filter(F.col("value").isNotNull()).distinct()
+
+
 def value_dictionary(tables: Mapping[str, DataFrame], rows: Sequence[tuple]) -> DataFrame:
-    """Distinct values (table_name, column_name, value) of the columns worth indexing."""
-    values = column_values(tables, text_columns(rows)).filter(F.col("value").isNotNull())
-    wanted = (column_statistics(values).filter((F.col("distinct_count") > 0) & dictionary_column())
-              .select("table_name", "column_name"))
-    # one row per column of the schema at most, so the broadcast is bounded
-    return values.join(F.broadcast(wanted), ["table_name", "column_name"], "left_semi").distinct()
+    """Distinct values (table_name, column_name, value) of the columns worth indexing.
+
+    The statistics run first; then only the chosen columns are read, so long
+    texts that do not qualify are never shuffled.
+    """
+    stats = column_statistics(column_values(tables, text_columns(rows)))
+    wanted = listed(stats.filter((F.col("distinct_count") > 0) & dictionary_column()))
+    return distinct_values(tables, wanted)
 
 
 def column_skip(stats: DataFrame) -> DataFrame:

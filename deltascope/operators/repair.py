@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,41 +15,32 @@ def repair_from_diff(diff: DataFrame, pk: Sequence[str], values: Sequence[str])
     return diff.select(op.alias("op"), *pk, *[F.col(f"old_{v}").alias(v) for v in values])
 
 
-def evaluate_fixes(original: DataFrame, fixes: Mapping[str, DataFrame], gold,
+def evaluate_fixes(snapshots: DataFrame, original: str, fixes: Sequence[str], gold: Callable[[DataFrame], DataFrame],
                    gold_columns: Sequence[str], failed: Mapping[str, str]) -> DataFrame:
     """Score fixes: gold result score, then full-restore score, with row counts.
 
-    ``gold`` maps a DataFrame with a ``snapshot`` column to the query result per
-    snapshot, so the query is planned once for all fixes. ``failed`` holds fixes
-    that could not be applied, with their error; they score 0. Restore is
-    counted only when the gold result is back.
+    ``snapshots`` holds all versions of the table under a ``snapshot`` column,
+    so the base is scanned once for all of them; ``gold`` maps it to the query
+    result per snapshot. ``failed`` holds fixes that could not be applied, with
+    their error; they score 0. Restore is counted only when the gold result is
+    back.
     """
-    named = {"original": original, **fixes}
-    parts = [df.select(F.lit(name).alias("snapshot"), "*") for name, df in named.items()]
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
+    names = [original, *fixes]
 
     def sides(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        marks = [F.count_if(F.col("snapshot") == name).alias(f"n_{name}") for name in named]
+        marks = [F.count_if(F.col("snapshot") == name).alias(f"n_{name}") for name in names]
         return df.groupBy(*columns).agg(*marks)
 
-    def per_fix(counts: DataFrame, measures) -> DataFrame:
-        pairs = counts.agg(*[F.struct(*measures(name)).alias(name) for name in fixes])
-        return pairs.select(F.explode(F.array(*[
-            F.struct(F.lit(name).alias("fix"), F.col(name).alias("m"))
-            for name in fixes])).alias("x")).select("x.fix", "x.m.*")
+    def per_fix(counts: DataFrame, measures: Callable[[Column, Column], list[Column]]) -> DataFrame:
+        totals = counts.agg(*[F.struct(*measures(F.col(f"n_{original}"), F.col(f"n_{f}"))).alias(f) for f in fixes])
+        pairs = [F.struct(F.lit(f).alias("fix"), F.col(f).alias("m")) for f in fixes]
+        return totals.select(F.explode(F.array(*pairs)).alias("x")).select("x.fix", "x.m.*")
 
-    def gold_measures(name: str) -> list[Column]:
-        a, b = F.col("n_original"), F.col(f"n_{name}")
-        return [F.coalesce(F.sum(F.when(b == 0, a)), F.lit(0)).alias("missing_rows"),
-                F.coalesce(F.sum(F.when(a == 0, b)), F.lit(0)).alias("extra_rows")]
-
-    def restore_measures(name: str) -> list[Column]:
-        return [F.count_if(F.col("n_original") != F.col(f"n_{name}")).alias("unrestored")]
-
-    by_gold = per_fix(sides(gold(together), gold_columns), gold_measures)
-    by_row = per_fix(sides(together, original.columns), restore_measures)
+    by_gold = per_fix(sides(gold(snapshots), gold_columns), lambda a, b: [
+        F.coalesce(F.sum(F.when(b == 0, a)), F.lit(0)).alias("missing_rows"),
+        F.coalesce(F.sum(F.when(a == 0, b)), F.lit(0)).alias("extra_rows")])
+    rows = [c for c in snapshots.columns if c != "snapshot"]
+    by_row = per_fix(sides(snapshots, rows), lambda a, b: [F.count_if(a != b).alias("unrestored")])
     gold_score = F.when((F.col("missing_rows") == 0) & (F.col("extra_rows") == 0), 1.0).otherwise(0.0)
     restore = F.when((gold_score == 1.0) & (F.col("unrestored") == 0), 1.0).otherwise(0.0)
     scored = by_gold.join(by_row, "fix").select(
@@ -58,7 +49,6 @@ def evaluate_fixes(original: DataFrame, fixes: Mapping[str, DataFrame], gold,
         F.lit(None).cast("string").alias("error"))
     if not failed:
         return scored
-    spark = original.sparkSession
-    errors = spark.createDataFrame(
+    errors = snapshots.sparkSession.createDataFrame(
         [(name, 0.0, 0.0, 0, 0, error) for name, error in failed.items()], scored.schema)
     return scored.unionByName(errors)

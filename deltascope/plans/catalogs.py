@@ -11,6 +11,7 @@ from deltascope.plans import fixtures as fx
 from deltascope.plans.fixtures import u
 from deltascope.plans.profiles import EXAMPLES, declared_catalog, examples_of, fk_edges
 from deltascope.plans.registry import query
+from deltascope.session import cut_lineage
 from deltascope.sources.tables import read_table
 
 # CTEs cat, qlog, tok, used(query_id, table_name), usedcol(query_id, table_name, column_name)
@@ -61,6 +62,7 @@ UNION SELECT a.query_id, a.table_name, c.column_name FROM used a JOIN cat c ON a
   JOIN used b ON a.query_id = b.query_id AND b.table_name = k.table_name""")
 def connections(spark, sf):
     used = querylog.table_usage(fx.query_log(spark, sf).select("query_id", "query"), declared_catalog(spark, sf))
+    used = cut_lineage(used.select("query_id", "table_name"))  # five joins read it
     return cat.connections(used, declared_catalog(spark, sf), fk_edges(spark))
 
 
@@ -92,9 +94,8 @@ def description_clean(spark, sf):
     return cat.clean_descriptions(raw_descriptions(spark, sf))
 
 
-def column_descriptions(spark, sf):
+def column_descriptions(stats):
     """Descriptions of all columns: a spelled-out name, and a note on columns with few values."""
-    _, stats = examples_of(spark, sf)
     return stats.select(
         "table_name", "column_name", F.replace("column_name", F.lit("_"), F.lit(" ")).alias("expanded_name"),
         F.when(profile.is_categorical(), "one of a fixed list").alias("column_description"),
@@ -126,8 +127,8 @@ SELECT table_name, column_name, 'Table name: `' || table_name || '`' || chr(10)
 FROM cat LEFT JOIN ex USING (table_name, column_name) LEFT JOIN d USING (table_name, column_name)
 LEFT JOIN ref USING (table_name, column_name) LEFT JOIN bak USING (table_name, column_name)""")
 def column_profile_text(spark, sf):
-    examples, _ = examples_of(spark, sf)
-    return cat.column_profiles(declared_catalog(spark, sf), examples, column_descriptions(spark, sf), fk_edges(spark),
+    examples, stats = examples_of(spark, sf)
+    return cat.column_profiles(declared_catalog(spark, sf), examples, column_descriptions(stats), fk_edges(spark),
                                with_keys=True, with_references=True)
 
 
@@ -153,6 +154,6 @@ def schema_text(spark, sf):
     on = ["table_name", "column_name"]
     picked = catalog.join(linked, on, "left").filter(
         F.col("linked") | (hash01(47, F.concat_ws(".", "table_name", "column_name")) < 0.5)).drop("linked")
-    examples, _ = examples_of(spark, sf)
-    columns = picked.join(column_descriptions(spark, sf), on).join(examples, on, "left")
-    return cat.schema_text(columns, fk_edges(spark))
+    examples, stats = examples_of(spark, sf)
+    columns = picked.join(column_descriptions(stats), on).join(examples, on, "left")
+    return cat.schema_text(cut_lineage(columns), fk_edges(spark))

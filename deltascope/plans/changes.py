@@ -9,6 +9,7 @@ from deltascope.operators import alter, diff, repair
 from deltascope.plans import fixtures as fx
 from deltascope.plans.fixtures import u
 from deltascope.plans.registry import query
+from deltascope.session import cut_lineage
 from deltascope.sources.tables import read_database, read_table
 
 ORDER_COLUMNS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -238,7 +239,8 @@ UNION ALL SELECT 'orders', side, 0, upper(side[1]) || side[2:] || ' Records:' FR
 UNION ALL SELECT 'orders', side, 1, {_line([f"rpad('{c}', w_{c}::INT, ' ')" for c in _RENDER], "| ", " | ", " |")} FROM w
 UNION ALL SELECT 'orders', side, 2, {_line([f"repeat('-', w_{c})" for c in _RENDER], "|-", "-|-", "-|")} FROM w""")
 def diff_render(spark, sf):
-    d = diff.diff_set(fx.orders_base(spark, sf), fx.orders_altered(spark, sf))
+    # the changes are written once: widths, numbers and lines read them
+    d = cut_lineage(diff.diff_set(fx.orders_base(spark, sf), fx.orders_altered(spark, sf)))
     shown = (d.withColumn("k", F.col("o_orderkey"))
              .withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
              .withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'X')")))
@@ -270,8 +272,8 @@ SELECT fix, CASE WHEN missing_rows + extra_rows = 0 THEN 1.0 ELSE 0.0 END::DOUBL
   missing_rows, extra_rows, NULL AS error FROM s
 UNION ALL SELECT 'failed', 0.0, 0.0, 0, 0, 'no such table: order'""")
 def fix_evaluate(spark, sf):
-    return repair.evaluate_fixes(fx.orders_base(spark, sf), fx.orders_fixed(spark, sf), _gold_by_snapshot,
-                                 _GOLD_COLUMNS, {"failed": "no such table: order"})
+    return repair.evaluate_fixes(fx.order_snapshots(spark, sf), "original", ["full", "partial", "bad"],
+                                 _gold_by_snapshot, _GOLD_COLUMNS, {"failed": "no such table: order"})
 
 
 @query("repair_from_diff", f"""{fx.WITH_ORDERS}, d AS ({_KEYED})

@@ -106,6 +106,29 @@ def orders_fixed(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {"full": full, "partial": partial, "bad": bad}
 
 
+def order_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Original, altered and fixed orders under a ``snapshot`` column, from one scan."""
+    base = orders_base(spark, sf)
+    key = F.col("o_orderkey")
+    deleted, updated, copied = hash01(1, key) < 0.01, hash01(2, key) < 0.02, hash01(3, key) < 0.01
+
+    def version(name, present, changes=None):
+        values = [(changes or {}).get(c, F.col(c)).alias(c) for c in base.columns]
+        return F.when(present, F.struct(F.lit(name).alias("snapshot"), *values))
+
+    new = {"o_orderstatus": F.when(updated, "X").otherwise(F.col("o_orderstatus")),
+           "o_totalprice": F.when(updated, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice"))}
+    kept = {c: F.when(deleted, F.col(c)).otherwise(v) for c, v in new.items()}
+    shifted = {"o_orderkey": key + KEY_SHIFT}
+    versions = F.array(
+        version("original", F.lit(True)),
+        version("altered", ~deleted, new), version("altered", copied, shifted),
+        version("full", F.lit(True)),
+        version("partial", F.lit(True), kept), version("partial", copied, shifted),
+        version("bad", hash01(16, key) >= 0.01))
+    return base.select(F.explode(F.filter(versions, lambda v: v.isNotNull())).alias("v")).select("v.*")
+
+
 # CTEs fixed_full, fixed_partial and fixed_bad, to follow WITH_ORDERS
 WITH_FIXED = f"""fixed_full AS (SELECT * FROM base),
 fixed_partial AS (SELECT * FROM alt UNION ALL SELECT * FROM base WHERE {u(1, 'o_orderkey')} < 0.01),

@@ -91,11 +91,9 @@ WITH v AS ({fx.ALL_VALUES}), s AS ({fx.COLUMN_STATS})
 SELECT DISTINCT v.table_name, v.column_name, v.value FROM v JOIN s ON v.table_name = s.table_name AND v.column_name = s.column_name
 WHERE v.value IS NOT NULL AND distinct_count + CASE WHEN null_count > 0 THEN 1 ELSE 0 END < 20""")
 def categorical_columns(spark, sf):
-    values = profile.column_values(read_database(spark, sf))
-    kept = profile.column_statistics(values).filter(profile.is_categorical()).select("table_name", "column_name")
-    # one row per column of the schema at most
-    return (values.filter(F.col("value").isNotNull())
-            .join(F.broadcast(kept), ["table_name", "column_name"], "left_semi").distinct())
+    tables = read_database(spark, sf)
+    stats = profile.column_statistics(profile.column_values(tables))
+    return profile.distinct_values(tables, profile.listed(stats.filter(profile.is_categorical())))
 
 
 @query("value_statistics", f"""
@@ -128,8 +126,9 @@ ex AS (SELECT * FROM (SELECT g_.table_name, g_.column_name,
 
 
 def examples_of(spark, sf):
+    """Examples and statistics of all columns; the statistics are written, as several joins read them."""
     values = profile.column_values(read_database(spark, sf))
-    stats = profile.column_statistics(values)
+    stats = cut_lineage(profile.column_statistics(values))
     return profile.example_values(values, stats, DATE_COLUMNS), stats
 
 

@@ -10,6 +10,7 @@ from deltascope.operators import alter, sampling, validate
 from deltascope.plans import fixtures as fx
 from deltascope.plans.fixtures import u
 from deltascope.plans.registry import query
+from deltascope.session import cut_lineage
 from deltascope.sources.tables import read_table
 
 COLUMNS = ["o_orderkey", "c_name", "o_orderstatus", "o_totalprice"]
@@ -238,7 +239,8 @@ def result_positional_diff(spark, sf):
     out = None
     for name, changed in cases.items():
         a, b = shown(base), shown(changed)
-        mismatches = validate.positional_diff(a, b, ["o_orderkey"], _POS, F.floor(F.col("o_orderkey") / fx.ORDER_BUCKET))
+        mismatches = cut_lineage(validate.positional_diff(
+            a, b, ["o_orderkey"], _POS, F.floor(F.col("o_orderkey") / fx.ORDER_BUCKET)))
         row = validate.positional_summary(a, b, mismatches).select(F.lit(name).alias("case_name"), "*")
         out = row if out is None else out.unionByName(row)
     return out

@@ -5,14 +5,33 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations")
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    """One table. Its schema is read from the file footer once per process."""
+    path = f"{directory}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Share the rows of a scan of few large pieces among all cores.
+
+    For work that is heavy per row. A scan of one small piece, or of at least
+    as many pieces as there are cores (any large table), stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    pieces = scan.rdd.getNumPartitions()
+    return scan.repartition(cores) if 1 < pieces < cores else scan
 
 
 def read_database(spark: SparkSession, directory: str,
