@@ -51,7 +51,7 @@ def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
         raw = (spark.read.schema(SCHEMA).option("header", True).option("multiLine", True).option("encoding", charset)
                .option("quote", '"').option("escape", '"').csv(files))
         fix = (lambda c: F.translate(c, _LATIN, _WINDOWS)) if encoding == "cp1252" else (lambda c: F.col(c))
-        first = F.regexp_replace(fix(COLUMNS[0]), "^﻿", "")
+        first = F.regexp_replace(fix(COLUMNS[0]), "^\ufeff", "")
         parts.append(raw.select(_table_name().alias("table_name"), first.alias(COLUMNS[0]),
                                 *[fix(c).alias(c) for c in COLUMNS[1:]], F.lit(encoding).alias("encoding")))
     if not parts:
