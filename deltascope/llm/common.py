@@ -39,16 +39,22 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner
 
 #: A key with more than 1/HEAVY_SHARE of the rows is heavy; there are fewer than HEAVY_SHARE of them.
 HEAVY_SHARE = 2000
+#: Parts into which the rows of a heavy key are dealt.
+SALTS = 64
 
 
-def split_join(df: DataFrame, counted: DataFrame, on: str, n_column: str, total: int, how: str = "inner") -> DataFrame:
-    """Join with ``counted``, one row for each key with its number of rows in ``df``.
+def salted_join(df: DataFrame, counted: DataFrame, on: list[str], n_column: str, total: int, part: Column,
+                how: str = "inner") -> DataFrame:
+    """Join with ``counted``, one row for each key with ``n_column`` = its rows in ``df``.
 
-    The heavy keys, fewer than ``HEAVY_SHARE`` whatever the input, are sent to
-    all tasks, so their rows stay where they are; the other rows are shuffled.
+    The rows of a heavy key are dealt into ``SALTS`` parts by ``part``, and its
+    row in ``counted`` is repeated for each. Heavy keys have over 1/HEAVY_SHARE
+    of the ``total`` rows, so their list is short whatever the input, and is
+    sent to all tasks.
     """
-    least = max(1, total // HEAVY_SHARE)
-    heavy = F.broadcast(counted.filter(F.col(n_column) > least))
-    rest = counted.filter(F.col(n_column) <= least)
-    cool = df.join(F.broadcast(counted.filter(F.col(n_column) > least).select(on)), on, "left_anti")
-    return df.join(heavy, on, "inner").unionByName(cool.join(rest, on, how), allowMissingColumns=False)
+    heavy = F.col(n_column) > max(1000, total // HEAVY_SHARE)
+    listed = F.broadcast(counted.filter(heavy).select(*on, F.lit(True).alias("_heavy")))
+    dealt = df.join(listed, on, "left").withColumn(
+        "_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(part), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_heavy")
+    copies = counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(heavy, SALTS - 1).otherwise(0)))).drop(n_column)
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")

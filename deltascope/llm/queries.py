@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from deltascope.llm import chat, mixing, quality, records, sharding
+from deltascope.llm import chat, decontaminate, langid, mixing, omh, quality, records, sharding, substring, suffix
 from deltascope.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,34 @@ def register(name: str, oracle: str | None = None):
     return keep
 
 
+SUBSTRING_SQL = rf"""
+WITH parts AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '\p{{Lu}}?[^\p{{Lu}}.!?\n]*[.!?\n]*') AS u FROM documents),
+pieces AS (SELECT doc_id, unnest(u) AS raw, unnest(range(1, len(u) + 1)) AS i FROM parts),
+placed AS (SELECT *, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i) - length(raw) AS start,
+                  trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS plain FROM pieces),
+worded AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ordinal,
+                  row_number() OVER (PARTITION BY plain ORDER BY doc_id, i) AS nth,
+                  length(plain) - length(replace(plain, ' ', '')) + 1 AS words FROM placed WHERE plain <> ''),
+repeated AS (SELECT *, ordinal - row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS run FROM worded WHERE nth > 1),
+runs AS (SELECT doc_id, min(start)::BIGINT AS a, max(start + length(raw))::BIGINT AS b, count(*) AS n
+         FROM repeated GROUP BY doc_id, run HAVING sum(words) >= {substring.MIN_RUN_WORDS}),
+whole AS (SELECT p.doc_id, p.i, p.raw, r.a IS NOT NULL AS gone FROM placed p
+          LEFT JOIN runs r ON p.doc_id = r.doc_id AND p.start >= r.a AND p.start < r.b),
+texts AS (SELECT doc_id, coalesce(string_agg(raw, '' ORDER BY i) FILTER (NOT gone), '') AS text FROM whole GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(n)::INT AS removed_units, sum(b - a)::BIGINT AS removed_chars,
+                string_agg(a || '+' || (b - a), ',' ORDER BY a) AS removed FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(removed_units, 0)::INT AS removed_units, coalesce(removed_chars, 0) AS removed_chars,
+       coalesce(removed, '') AS removed, coalesce(t.text, d.text) AS text
+FROM documents d LEFT JOIN texts t USING (doc_id) LEFT JOIN sums USING (doc_id)"""
+
+
+@register("op1_line_dedup", SUBSTRING_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    spans = F.transform("removed", lambda r: F.concat_ws("+", r["start"], r["length"]))
+    return out.withColumn("removed", F.array_join(spans, ","))
+
+
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 QUALITY_SQL = rf"""
@@ -56,6 +85,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_to_shards(table(spark, sf_dir, "documents"))
 
 
+@register("op4_bm25_decontaminate")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})
+
+
 def mixing_sql(margins=mixing.MARGINS, sweeps: int = mixing.SWEEPS, seed: int = 17) -> str:
     """The same raking with window sums over the cells, as a recursive query."""
     target = ", ".join(
@@ -88,7 +123,6 @@ FROM f LEFT JOIN p ON {" AND ".join(f"f.{n} IS NOT DISTINCT FROM p.{n}" for n in
 
 @register("op5_rake_mixture", mixing_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
     out = mixing.mix_report(table(spark, sf_dir, "documents"))
     return out.withColumn("probability", F.round("probability", 6))
 
@@ -115,6 +149,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns))
 
 
+@register("op7_bigru_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@register("op8_order_minhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
