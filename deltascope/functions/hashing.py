@@ -31,8 +31,10 @@ def value_json(col: Column, dtype: T.DataType) -> Column:
     """JSON text of one value; integral floats print as integers, NULL as null."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         number = col.cast("double")
-        integral = (number == F.floor(number)) & (F.abs(number) < F.lit(9.0e15))
-        text = F.when(integral, number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+        integral = number == F.rint(number)
+        text = (F.when(integral & (F.abs(number) < F.lit(9.2e18)), number.cast("bigint").cast("string"))
+                .when(integral & (F.abs(number) < F.lit(1e38)), number.cast("decimal(38,0)").cast("string"))
+                .otherwise(number.cast("string")))
     elif isinstance(dtype, T.DecimalType):
         text = F.rtrim(F.rtrim(col.cast("string"), F.lit("0")), F.lit(".")) if dtype.scale else col.cast("string")
     elif isinstance(dtype, (T.IntegralType, T.BooleanType)):

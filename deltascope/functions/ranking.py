@@ -9,11 +9,21 @@ are exact.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _renamed(per_bucket: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return per_bucket.withColumnsRenamed({k: f"_of_{k}" for k in [*keys, "_bucket"]})
+
+
+def _same(keys: Sequence[str]) -> Column:
+    """One group and bucket; a NULL order value has a NULL bucket, which is a bucket as well."""
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_bucket"]])
+
+
 def bucketed_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                         bucket: Column, name: str = "row_no") -> DataFrame:
     """Add ``name`` = 1-based position of each row in its group.
@@ -31,9 +41,9 @@ def bucketed_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (bucketed.withColumn("_rank", F.row_number().over(inside))
-            .join(offsets, [*keys, "_bucket"])
+            .join(_renamed(offsets, keys), _same(keys))
             .withColumn(name, (F.col("_rank") + F.col("_offset")).cast("bigint"))
-            .drop("_bucket", "_rank", "_offset"))
+            .drop("_bucket", "_rank", "_offset", *[f"_of_{k}" for k in [*keys, "_bucket"]]))
 
 
 def bucketed_neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -55,6 +65,6 @@ def bucketed_neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     edges = edges.select(*keys, "_bucket", step("_edge").over(over_buckets).alias("_outer"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (bucketed.withColumn("_inner", step("_packed").over(inside))
-            .join(edges, [*keys, "_bucket"])
+            .join(_renamed(edges, keys), _same(keys))
             .withColumn(name, F.coalesce("_inner", "_outer"))
-            .drop("_bucket", "_packed", "_inner", "_outer"))
+            .drop("_bucket", "_packed", "_inner", "_outer", *[f"_of_{k}" for k in [*keys, "_bucket"]]))

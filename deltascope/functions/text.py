@@ -16,18 +16,15 @@ LINE_COMMENT = r"--[^\n]*"
 ESCAPED_QUOTE = r"\\+(['\"])"
 TOKEN = r"([\p{L}\p{N}_]+)"
 AS_ALIAS = r"\bas\s+([\p{L}\p{N}_]+)"
-TABLE_REF = r"\b(?:from|join)\s+([\p{L}\p{N}_]+)(?:\s+as)?\s+([\p{L}\p{N}_]+)"
-ON_CHAIN = (r"(?i)\bon\s+(\w+\.\w+\s*=\s*\w+\.\w+"
+ON_CHAIN = (r"(?i)\bon\b\s*\(*\s*(\w+\.\w+\s*=\s*\w+\.\w+"
             r"(?:\s+and\s+[\w.]+\s*(?:<=|>=|<>|=|<|>)\s*(?:'[^']*'|[\w.]+))*)")
 COLUMN_EQUALITY = r"(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)"
-CONDITION = r"(?i)(\w+\()?(?:\w+\.)?(\w+)\)?\s*(<=|>=|<>|!=|=|<|>|\blike\b)\s*(?:'([^']*)'|(\d+))"
+CONDITION = r"(?i)(\w+\()?(?:\w+\.)?(\w+)\)?\s*(<=|>=|<>|!=|=|<|>|\blike\b)\s*(?:'((?:[^']|'')*)'|(-?\d+(?:\.\d+)?))"
 # words that may follow a table name without being its alias
 NOT_ALIAS = ("on", "where", "join", "inner", "left", "right", "full", "cross", "outer", "natural",
              "group", "order", "having", "limit", "union", "intersect", "except", "set", "using", "values", "as")
-
-
-def _words(words: Sequence[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+# the alias is looked at before it is taken, so a JOIN that follows a bare table name is found too
+TABLE_REF = (r"\b(?:from|join)\s+([\p{L}\p{N}_]+)(?:\s+as)?\s+(?!(?:" + "|".join(NOT_ALIAS) + r")\b)([\p{L}\p{N}_]+)")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -75,9 +72,8 @@ def tokens(sql: Column) -> Column:
 def aliases(sql: Column) -> Column:
     """Names given by AS, and names that directly follow a table name."""
     lower = F.lower(sql)
-    behind = F.filter(F.regexp_extract_all(lower, F.lit(TABLE_REF), 2),
-                      lambda w: ~F.array_contains(_words(NOT_ALIAS), w))
-    return F.array_distinct(F.concat(F.regexp_extract_all(lower, F.lit(AS_ALIAS), 1), behind))
+    return F.array_distinct(F.concat(F.regexp_extract_all(lower, F.lit(AS_ALIAS), 1),
+                                     F.regexp_extract_all(lower, F.lit(TABLE_REF), 2)))
 
 
 def ngrams(sql: Column, n: int = 1) -> Column:
@@ -127,11 +123,10 @@ def is_write(sql: Column) -> Column:
 
 
 def table_refs(sql: Column) -> Column:
-    """Array of (alias, table): every table named after FROM or JOIN, under its alias and its name."""
+    """Array of (alias, table) of the tables named after FROM or JOIN with an alias."""
     lower = F.lower(sql)
-    named = F.arrays_zip(F.regexp_extract_all(lower, F.lit(TABLE_REF), 2).alias("alias"),
-                         F.regexp_extract_all(lower, F.lit(TABLE_REF), 1).alias("table"))
-    return F.filter(named, lambda p: ~F.array_contains(_words(NOT_ALIAS), p["alias"]))
+    return F.arrays_zip(F.regexp_extract_all(lower, F.lit(TABLE_REF), 2).alias("alias"),
+                        F.regexp_extract_all(lower, F.lit(TABLE_REF), 1).alias("table"))
 
 
 def join_pairs(sql: Column) -> Column:
@@ -161,7 +156,7 @@ def conditions(sql: Column) -> Column:
                           part(4).alias("text"), part(5).alias("number"))
     return F.transform(zipped, lambda c: F.struct(
         (c["func"] != "").alias("in_call"), F.lower(c["col"]).alias("column"), F.lower(c["op"]).alias("op"),
-        F.when(c["number"] != "", c["number"]).otherwise(c["text"]).alias("literal")))
+        F.when(c["number"] != "", c["number"]).otherwise(F.replace(c["text"], F.lit("''"), F.lit("'"))).alias("literal")))
 
 
 def parse_response(raw: Column, schema: T.StructType) -> Column:

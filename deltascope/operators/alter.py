@@ -6,7 +6,7 @@ objects, nothing is copied, and either all statements apply or none do.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,7 +19,7 @@ class Alteration:
     """One statement: ``op`` is delete, update or insert.
 
     ``predicate`` and the values of ``assignments`` are SQL expressions over the
-    old row; ``rows`` holds the rows to insert.
+    old row; ``rows`` holds the rows to insert, and ``pk`` the key they must not repeat.
     """
 
     table: str
@@ -27,6 +27,7 @@ class Alteration:
     predicate: str | None = None
     assignments: Mapping[str, str] = field(default_factory=dict)
     rows: DataFrame | None = None
+    pk: Sequence[str] = ()
 
 
 def _holds(predicate: str | Column) -> Column:
@@ -63,9 +64,20 @@ def update_rows(df: DataFrame, predicate: str | Column,
     return df.select(*[value(c) for c in df.columns])
 
 
-def insert_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
-    """Append rows; columns they lack are NULL, column types stay those of ``df``."""
+def insert_rows(df: DataFrame, rows: DataFrame, pk: Sequence[str] = ()) -> DataFrame:
+    """Append rows; columns they lack are NULL, column types stay those of ``df``.
+
+    With ``pk`` the statement fails, when it runs, if a key is taken or comes
+    twice among the new rows; NULL keys are never equal.
+    """
     typed = rows.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in rows.columns])
+    if pk:
+        pk = list(pk)
+        twice = typed.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+        refused = key_collisions(df, typed.select(*pk).distinct(), pk).select(*pk).unionByName(twice.select(*pk)).distinct()
+        checked = typed.join(refused.withColumn("_refused", F.lit(True)), pk, "left")
+        fail = F.raise_error(F.concat(F.lit("key is taken: "), F.to_json(F.struct(*pk))))
+        typed = checked.filter(F.when(F.col("_refused"), fail.cast("boolean")).otherwise(True)).select(*typed.columns)
     return df.unionByName(typed, allowMissingColumns=True)
 
 
@@ -83,7 +95,7 @@ def apply_one(tables: Mapping[str, DataFrame], change: Alteration) -> dict[str,
     elif change.op == "update":
         after = update_rows(before, change.predicate, change.assignments)
     elif change.op == "insert":
-        after = insert_rows(before, change.rows)
+        after = insert_rows(before, change.rows, change.pk)
     else:
         raise ValueError(f"unknown op {change.op}")
     return {**tables, change.table: after}

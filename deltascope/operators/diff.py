@@ -41,24 +41,30 @@ def diff_bag(original: DataFrame, altered: DataFrame, wide: bool = False) -> Dat
                     F.abs(more).cast("bigint").alias("copies"), *original.columns))
 
 
+def _null_safe(pk: Sequence[str]) -> Column:
+    """Keys are equal to the other side's, renamed ones; NULL is equal to NULL."""
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in pk])
+
+
 def diff_keyed(original: DataFrame, altered: DataFrame, pk: Sequence[str],
                wide: bool = False) -> DataFrame:
     """One row per changed key: change type, changed columns, old and new values.
 
-    ``pk`` must be unique on both sides. With ``wide`` only keys and
+    ``pk`` must be unique on both sides; NULL keys meet. With ``wide`` only keys and
     fingerprints are shuffled for all rows; the values are fetched for the
     changed keys.
     """
     pk = list(pk)
     values = [c for c in original.columns if c not in pk]
     if wide:
-        both = (original.select(*pk, *fingerprint(values))
-                .join(altered.select(*pk, *[c.alias(n) for c, n in zip(fingerprint(values), ("gp1", "gp2"))]),
-                      pk, "full_outer"))
+        theirs = altered.select(*[F.col(k).alias(f"_b_{k}") for k in pk],
+                                *[c.alias(n) for c, n in zip(fingerprint(values), ("gp1", "gp2"))])
+        both = original.select(*pk, *fingerprint(values)).join(theirs, _null_safe(pk), "full_outer")
+        # a side that lacks the key has NULL prints, the other has not
         same = F.col("fp1").eqNullSafe(F.col("gp1")) & F.col("fp2").eqNullSafe(F.col("gp2"))
-        keys = both.filter(~same).select(*pk)
-        original = original.join(keys, pk, "left_semi")
-        altered = altered.join(keys, pk, "left_semi")
+        keys = both.filter(~same).select(*[F.coalesce(F.col(k), F.col(f"_b_{k}")).alias(f"_b_{k}") for k in pk])
+        original = original.join(keys, _null_safe(pk), "left_semi")
+        altered = altered.join(keys, _null_safe(pk), "left_semi")
     a = original.select(*pk, *[F.col(c).alias(f"old_{c}") for c in values], F.lit(True).alias("_a"))
     b = altered.select(*pk, *[F.col(c).alias(f"new_{c}") for c in values], F.lit(True).alias("_b"))
     differs = [(c, ~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))) for c in values]
@@ -67,9 +73,9 @@ def diff_keyed(original: DataFrame, altered: DataFrame, pk: Sequence[str],
     changed = F.when(F.col("_a") & F.col("_b"),
                      F.concat_ws(",", *[F.when(d, F.lit(c)) for c, d in differs]))
     any_change = reduce(Column.__or__, [d for _, d in differs])
-    joined = a.join(b, pk, "full_outer")
+    joined = a.join(b.withColumnsRenamed({k: f"_b_{k}" for k in pk}), _null_safe(pk), "full_outer")
     return (joined.filter(F.col("_a").isNull() | F.col("_b").isNull() | any_change)
-            .select(*pk, kind.alias("change"), changed.alias("changed_columns"),
+            .select(*[F.coalesce(F.col(k), F.col(f"_b_{k}")).alias(k) for k in pk], kind.alias("change"), changed.alias("changed_columns"),
                     *[f"old_{c}" for c in values], *[f"new_{c}" for c in values]))
 
 

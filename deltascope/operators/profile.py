@@ -17,8 +17,6 @@ from deltascope.sources.tables import spread
 
 # Thresholds and name parts of the column rules.
 SKIP_NAME_PARTS = ("_id", " id", "url", "email", "web", "time", "phone", "date", "address")
-MAX_NAME_CHARS = 5_000_000
-MAX_CHARS = 2_000_000
 MAX_AVERAGE = 25
 SMALL_COUNT = 100
 CATEGORICAL_BELOW = 20
@@ -52,10 +50,10 @@ def catalog(spark: SparkSession, tables: Mapping[str, DataFrame], keys: Mapping[
 
 
 def as_text(df: DataFrame, name: str) -> Column:
-    """A column as text; numbers with a fraction get four decimals."""
+    """A column as text; doubles keep all their digits, and the two zeros are one."""
     col = F.col(name)
-    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return col.cast("decimal(18,4)").cast("string")
+    if isinstance(df.schema[name].dataType, T.DoubleType):
+        col = col + F.lit(0.0)
     return col.cast("string")
 
 
@@ -126,11 +124,16 @@ def text_columns(rows: Sequence[tuple]) -> dict[str, list[str]]:
     return picked
 
 
-def dictionary_column() -> Column:
-    """Does a column's size allow it in the value dictionary."""
-    return ((F.lower("column_name").contains("name") & (F.col("sum_lengths") < MAX_NAME_CHARS))
-            | ((F.col("sum_lengths") < MAX_CHARS) & (average_length() < MAX_AVERAGE))
-            | (F.col("distinct_count") < SMALL_COUNT))
+def dictionary_column(max_chars: int | None = None) -> Column:
+    """Does a column hold names, short values or few values, whatever its size.
+
+    ``max_chars`` leaves out columns with more distinct text (2.5 times as much for names).
+    """
+    low = F.lower("column_name").contains("name")
+    wanted = low | (average_length() < MAX_AVERAGE)
+    if max_chars is not None:
+        wanted = wanted & (F.col("sum_lengths") < F.when(low, 2.5 * max_chars).otherwise(max_chars))
+    return wanted | (F.col("distinct_count") < SMALL_COUNT)
 
 
 def listed(stats: DataFrame) -> dict[str, list[str]]:
@@ -146,14 +149,14 @@ def distinct_values(tables: Mapping[str, DataFrame], columns: Mapping[str, Seque
     return column_values(tables, columns).filter(F.col("value").isNotNull()).distinct()
 
 
-def value_dictionary(tables: Mapping[str, DataFrame], rows: Sequence[tuple]) -> DataFrame:
+def value_dictionary(tables: Mapping[str, DataFrame], rows: Sequence[tuple], max_chars: int | None = None) -> DataFrame:
     """Distinct values (table_name, column_name, value) of the columns worth indexing.
 
     The statistics run first; then only the chosen columns are read, so long
     texts that do not qualify are never shuffled.
     """
     stats = column_statistics(column_values(tables, text_columns(rows)))
-    wanted = listed(stats.filter((F.col("distinct_count") > 0) & dictionary_column()))
+    wanted = listed(stats.filter((F.col("distinct_count") > 0) & dictionary_column(max_chars)))
     return distinct_values(tables, wanted)
 
 

@@ -36,7 +36,7 @@ def alter_update(spark, sf):
 
 
 @query("alter_insert", f"""
-WITH new AS (SELECT CASE WHEN {u(17, 'o_orderkey')} < 0.5 THEN o_orderkey ELSE o_orderkey + {fx.KEY_SHIFT} END AS o_orderkey,
+WITH new AS (SELECT CASE WHEN {u(17, 'o_orderkey')} < 0.5 THEN o_orderkey ELSE {fx.copy_key_sql('o_orderkey')} END AS o_orderkey,
   o_custkey, o_totalprice FROM orders WHERE {u(3, 'o_orderkey')} < 0.01)
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, false AS collides FROM orders
 UNION ALL SELECT o_orderkey, o_custkey, NULL, o_totalprice,
@@ -45,7 +45,7 @@ def alter_insert(spark, sf):
     base = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     key = F.col("o_orderkey")
     rows = base.filter(hash01(3, key) < 0.01).select(
-        F.when(hash01(17, key) < 0.5, key).otherwise(key + fx.KEY_SHIFT).alias("o_orderkey"),
+        F.when(hash01(17, key) < 0.5, key).otherwise(fx.copy_key(key)).alias("o_orderkey"),
         "o_custkey", "o_totalprice")
     taken = alter.key_collisions(base, rows, ["o_orderkey"]).select("o_orderkey").distinct()
     marked = rows.join(taken.withColumn("collides", F.lit(True)), "o_orderkey", "left").withColumn(
@@ -247,33 +247,40 @@ def diff_render(spark, sf):
     return diff.render_diff("orders", shown, _RENDER, ["k"], F.floor(F.col("k") / fx.ORDER_BUCKET))
 
 
-_GOLD_COLUMNS = ["o_orderstatus", "o_orderpriority", "n_orders", "total"]
-
-
-def _gold_by_snapshot(df):
-    return (df.filter(F.col("o_totalprice") > 100000).groupBy("snapshot", "o_orderstatus", "o_orderpriority").agg(
-        F.count(F.lit(1)).alias("n_orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total")))
-
-
-def _fix_sql(name: str) -> str:
-    gold = """SELECT o_orderstatus, o_orderpriority, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS s
-  FROM {} WHERE o_totalprice > 100000 GROUP BY ALL"""
-    a, b = gold.format("base"), gold.format(f"fixed_{name}")
-    return f"""SELECT '{name}' AS fix, (SELECT count(*) FROM ({a} EXCEPT {b})) AS missing_rows,
-  (SELECT count(*) FROM ({b} EXCEPT {a})) AS extra_rows,
-  (SELECT count(*) FROM (SELECT * FROM base EXCEPT ALL SELECT * FROM fixed_{name}))
-  + (SELECT count(*) FROM (SELECT * FROM fixed_{name} EXCEPT ALL SELECT * FROM base)) AS unrestored"""
-
-
-@query("fix_evaluate", f"""{fx.WITH_ORDERS}, {fx.WITH_FIXED}, s AS (
-{" UNION ALL ".join(_fix_sql(n) for n in ("full", "partial", "bad"))})
-SELECT fix, CASE WHEN missing_rows + extra_rows = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS gold_result_score,
-  CASE WHEN missing_rows + extra_rows + unrestored = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS full_restore_score,
-  missing_rows, extra_rows, NULL AS error FROM s
-UNION ALL SELECT 'failed', 0.0, 0.0, 0, 0, 'no such table: order'""")
+@query("fix_evaluate", f"""WITH base AS ({fx.ORDERS_BASE}), alt AS ({fx.RECORD_ALTERATIONS}), fixes AS ({fx.RECORD_FIXES}),
+touched AS (SELECT record_id, o_orderkey FROM alt UNION SELECT record_id, o_orderkey FROM fixes),
+recs AS (SELECT DISTINCT record_id FROM touched),
+altered AS (SELECT r.record_id, b.* FROM recs r, base b WHERE NOT EXISTS (SELECT 1 FROM alt a WHERE a.record_id = r.record_id AND a.o_orderkey = b.o_orderkey)
+  UNION ALL SELECT record_id, {", ".join(["o_orderkey", *ORDER_COLUMNS])} FROM alt WHERE op <> 'delete'),
+fixed AS (SELECT b.* FROM altered b WHERE NOT EXISTS (SELECT 1 FROM fixes f WHERE f.record_id = b.record_id AND f.o_orderkey = b.o_orderkey)
+  UNION ALL SELECT record_id, {", ".join(["o_orderkey", *ORDER_COLUMNS])} FROM fixes WHERE op <> 'delete'),
+gold AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS s FROM base WHERE o_totalprice > 100000 GROUP BY ALL),
+got AS (SELECT record_id, o_orderstatus, o_orderpriority, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS s FROM fixed WHERE o_totalprice > 100000 GROUP BY ALL),
+want AS (SELECT record_id, gold.* FROM recs, gold),
+miss AS (SELECT record_id, count(*) AS k FROM (SELECT * FROM want EXCEPT SELECT * FROM got) GROUP BY 1),
+more AS (SELECT record_id, count(*) AS k FROM (SELECT * FROM got EXCEPT SELECT * FROM want) GROUP BY 1),
+sizes AS (SELECT record_id, count(*) AS k FROM got GROUP BY 1),
+tb AS (SELECT record_id, b.* FROM touched JOIN base b USING (o_orderkey)),
+tf AS (SELECT record_id, {", ".join(["o_orderkey", *ORDER_COLUMNS])} FROM fixed JOIN touched USING (record_id, o_orderkey)),
+undone AS (SELECT record_id, count(DISTINCT o_orderkey) AS k FROM (
+  (SELECT * FROM tb EXCEPT SELECT * FROM tf) UNION ALL (SELECT * FROM tf EXCEPT SELECT * FROM tb)) GROUP BY 1),
+x AS (SELECT r.record_id, coalesce(miss.k, 0) AS missing_rows, coalesce(more.k, 0) AS extra_rows, coalesce(undone.k, 0) AS unrestored,
+  coalesce(sizes.k, 0) AS n_got, {fx.RECORD_ERROR} AS error FROM recs r LEFT JOIN miss USING (record_id) LEFT JOIN more USING (record_id)
+  LEFT JOIN undone USING (record_id) LEFT JOIN sizes USING (record_id))
+SELECT record_id, (error IS NULL AND missing_rows + extra_rows = 0)::INT::DOUBLE AS gold_result_score,
+  (error IS NULL AND missing_rows + extra_rows + unrestored = 0)::INT::DOUBLE AS full_restore_score,
+  CASE WHEN error IS NULL THEN missing_rows ELSE 0 END AS missing_rows, CASE WHEN error IS NULL THEN extra_rows ELSE 0 END AS extra_rows,
+  CASE WHEN error IS NULL THEN unrestored ELSE 0 END AS unrestored,
+  CASE WHEN error IS NOT NULL THEN 'Fix SQL execution failed: ' || error
+    WHEN missing_rows + extra_rows + unrestored = 0 THEN 'gold_result matches and DB fully restored to original'
+    WHEN missing_rows + extra_rows = 0 THEN 'gold_result matches but DB not fully restored'
+    ELSE 'gold_sql result mismatch: expected ' || (SELECT count(*) FROM gold) || ' row(s), got ' || n_got || ' row(s). Missing: '
+      || missing_rows || ' row(s), extra: ' || extra_rows || ' row(s)' END AS description FROM x""")
 def fix_evaluate(spark, sf):
-    return repair.evaluate_fixes(fx.order_snapshots(spark, sf), "original", ["full", "partial", "bad"],
-                                 _gold_by_snapshot, _GOLD_COLUMNS, {"failed": "no such table: order"})
+    base = fx.orders_base(spark, sf)
+    altered, fixes, errors = fx.record_fixes(spark, sf)
+    return repair.evaluate_fixes(base, altered, fixes, ["o_orderkey"], errors, "o_totalprice > 100000",
+                                 ["o_orderstatus", "o_orderpriority"], "o_totalprice")
 
 
 @query("repair_from_diff", f"""{fx.WITH_ORDERS}, d AS ({_KEYED})

@@ -5,17 +5,25 @@ Everything here grows with the given tables; draws come from ``hash01``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltascope.functions.hashing import hash01, hash01_sql
 from deltascope.operators.alter import Alteration, apply_sequence
 from deltascope.sources.tables import read_table
 
-KEY_SHIFT = 1_000_000_000
 ORDER_BUCKET = 100_000  # order keys per ranking bucket
 
 
+def copy_key(key: Column) -> Column:
+    """Key of an inserted copy: negative, so it meets no key of the table, whatever its size."""
+    return -key - 1
+
+
+def copy_key_sql(key: str) -> str:
+    return f"(-({key}) - 1)"
+
+
 def u(seed: int, key: str) -> str:
     """``hash01`` in DuckDB SQL."""
     return f"(CAST(('0x' || substr(md5('{seed}:' || {key}), 1, 8)) AS BIGINT) / 4294967296.0)"
@@ -34,7 +42,7 @@ ORDERS_BASE = ("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
 def orders_changes(base: DataFrame) -> list[Alteration]:
     """The standard corruption: 1 % deleted, 2 % updated, 1 % inserted."""
     copies = base.filter(hash01(3, F.col("o_orderkey")) < 0.01).withColumn(
-        "o_orderkey", F.col("o_orderkey") + KEY_SHIFT)
+        "o_orderkey", copy_key(F.col("o_orderkey")))
     return [
         Alteration("orders", "delete", hash01_sql(1, "o_orderkey") + " < 0.01"),
         Alteration("orders", "update", hash01_sql(2, "o_orderkey") + " < 0.02",
@@ -52,7 +60,7 @@ _ALT_UPDATE = f"""SELECT o_orderkey, o_custkey,
   CASE WHEN {u(2, 'o_orderkey')} < 0.02 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
   CASE WHEN {u(2, 'o_orderkey')} < 0.02 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
   o_orderdate, o_orderpriority FROM base WHERE NOT ({u(1, 'o_orderkey')} < 0.01)"""
-_ALT_INSERT = f"""SELECT o_orderkey + {KEY_SHIFT} AS o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+_ALT_INSERT = f"""SELECT {copy_key_sql('o_orderkey')} AS o_orderkey, o_custkey, o_orderstatus, o_totalprice,
   o_orderdate, o_orderpriority FROM base WHERE {u(3, 'o_orderkey')} < 0.01"""
 
 # CTEs base and alt, to be followed by a SELECT
@@ -99,36 +107,13 @@ def orders_fixed(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     key = F.col("o_orderkey")
     lost = base.filter(hash01(1, key) < 0.01)
     partial = altered.unionByName(lost)
-    untouched = altered.filter((key < KEY_SHIFT) & ~(hash01(2, key) < 0.02))
+    untouched = altered.filter((key >= 0) & ~(hash01(2, key) < 0.02))
     updated = base.filter((hash01(2, key) < 0.02) & ~(hash01(1, key) < 0.01))
     full = untouched.unionByName(updated).unionByName(lost)
     bad = full.filter(hash01(16, key) >= 0.01)
     return {"full": full, "partial": partial, "bad": bad}
 
 
-def order_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """Original, altered and fixed orders under a ``snapshot`` column, from one scan."""
-    base = orders_base(spark, sf)
-    key = F.col("o_orderkey")
-    deleted, updated, copied = hash01(1, key) < 0.01, hash01(2, key) < 0.02, hash01(3, key) < 0.01
-
-    def version(name, present, changes=None):
-        values = [(changes or {}).get(c, F.col(c)).alias(c) for c in base.columns]
-        return F.when(present, F.struct(F.lit(name).alias("snapshot"), *values))
-
-    new = {"o_orderstatus": F.when(updated, "X").otherwise(F.col("o_orderstatus")),
-           "o_totalprice": F.when(updated, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice"))}
-    kept = {c: F.when(deleted, F.col(c)).otherwise(v) for c, v in new.items()}
-    shifted = {"o_orderkey": key + KEY_SHIFT}
-    versions = F.array(
-        version("original", F.lit(True)),
-        version("altered", ~deleted, new), version("altered", copied, shifted),
-        version("full", F.lit(True)),
-        version("partial", F.lit(True), kept), version("partial", copied, shifted),
-        version("bad", hash01(16, key) >= 0.01))
-    return base.select(F.explode(F.filter(versions, lambda v: v.isNotNull())).alias("v")).select("v.*")
-
-
 # CTEs fixed_full, fixed_partial and fixed_bad, to follow WITH_ORDERS
 WITH_FIXED = f"""fixed_full AS (SELECT * FROM base),
 fixed_partial AS (SELECT * FROM alt UNION ALL SELECT * FROM base WHERE {u(1, 'o_orderkey')} < 0.01),
@@ -146,7 +131,7 @@ def order_deltas(spark: SparkSession, sf: str) -> DataFrame:
         parts.append(base.filter(hash01(pick, key) < 0.05).select(
             (F.floor(hash01(record, key) * 50) + 50 * len(parts)).cast("bigint").alias("record_id"),
             op.alias("op"),
-            (key + F.when(op == "insert", KEY_SHIFT).otherwise(0)).alias("o_orderkey"),
+            F.when(op == "insert", copy_key(key)).otherwise(key).alias("o_orderkey"),
             F.when(op != "delete", F.col("o_totalprice") + 100).alias("o_totalprice")))
     return parts[0].unionByName(parts[1])
 
@@ -155,7 +140,7 @@ def _delta_sql(pick: int, record: int, kind: int, shift: int) -> str:
     d = u(kind, "o_orderkey")
     op = f"CASE WHEN {d} < 0.34 THEN 'delete' WHEN {d} < 0.67 THEN 'insert' ELSE 'update' END"
     return f"""SELECT CAST(floor({u(record, 'o_orderkey')} * 50) AS BIGINT) + {shift} AS record_id, {op} AS op,
-  o_orderkey + CASE WHEN {op} = 'insert' THEN {KEY_SHIFT} ELSE 0 END AS o_orderkey,
+  CASE WHEN {op} = 'insert' THEN {copy_key_sql('o_orderkey')} ELSE o_orderkey END AS o_orderkey,
   CASE WHEN {op} <> 'delete' THEN o_totalprice + 100 END AS o_totalprice
   FROM orders WHERE {u(pick, 'o_orderkey')} < 0.05"""
 
@@ -163,6 +148,54 @@ def _delta_sql(pick: int, record: int, kind: int, shift: int) -> str:
 ORDER_DELTAS = f"{_delta_sql(11, 12, 13, 0)} UNION ALL {_delta_sql(14, 15, 16, 50)}"
 
 
+RECORDS = 60  # altered databases whose fixes are scored
+
+
+def record_fixes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Alterations of many records over orders, their fixes, and the fixes that fail.
+
+    A tenth of the orders is altered by one record each. By the record number
+    modulo 4 the fix undoes all, undoes only what was deleted, undoes all but
+    removes other orders, or undoes all and touches a cheap
+    order, which the gold query does not see. Every tenth fix fails.
+    """
+    base = orders_base(spark, sf)
+    key, record = F.col("o_orderkey"), F.floor(hash01(42, F.col("o_orderkey")) * RECORDS).cast("bigint")
+    draw = hash01(43, key)
+    op = F.when(draw < 0.34, "delete").when(draw < 0.67, "insert").otherwise("update")
+    picked = base.filter(hash01(41, key) < 0.1).select(record.alias("record_id"), op.alias("op"), "*")
+    altered = picked.withColumn("o_totalprice", F.when(F.col("op") == "update", F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice"))).withColumn(
+        "o_orderkey", F.when(F.col("op") == "insert", copy_key(key)).otherwise(key))
+    kind = F.col("record_id") % 4
+    inverse = picked.filter((kind != 1) | (F.col("op") == "delete")).withColumn(
+        "o_orderkey", F.when(F.col("op") == "insert", copy_key(key)).otherwise(key)).withColumn(
+        "op", F.when(F.col("op") == "insert", "delete").when(F.col("op") == "delete", "insert").otherwise("update"))
+    side = base.filter(hash01(41, key) >= 0.1).select(record.alias("record_id"), "*")
+    lost = side.filter((kind == 2) & (hash01(44, key) < 0.01)).withColumn("op", F.lit("delete"))
+    touched = side.filter((kind == 3) & (F.col("o_totalprice") < 50000) & (hash01(44, key) < 0.05)).withColumn(
+        "op", F.lit("update")).withColumn("o_orderstatus", F.lit("X"))
+    fixes = inverse.unionByName(lost).unionByName(touched)
+    failed = picked.select("record_id").distinct().filter(F.col("record_id") % 10 == 7).select(
+        "record_id", F.concat(F.lit("no such table: orders_"), F.col("record_id")).alias("error"))
+    return altered, fixes, failed
+
+
+_RECORD = f"CAST(floor({u(42, 'o_orderkey')} * {RECORDS}) AS BIGINT)"
+_ROP = f"CASE WHEN {u(43, 'o_orderkey')} < 0.34 THEN 'delete' WHEN {u(43, 'o_orderkey')} < 0.67 THEN 'insert' ELSE 'update' END"
+_REST = "o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+RECORD_ALTERATIONS = f"""SELECT {_RECORD} AS record_id, {_ROP} AS op,
+  CASE WHEN {_ROP} = 'insert' THEN {copy_key_sql('o_orderkey')} ELSE o_orderkey END AS o_orderkey, o_custkey, o_orderstatus,
+  CASE WHEN {_ROP} = 'update' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority
+  FROM base WHERE {u(41, 'o_orderkey')} < 0.1"""
+RECORD_FIXES = f"""SELECT {_RECORD} AS record_id, CASE {_ROP} WHEN 'insert' THEN 'delete' WHEN 'delete' THEN 'insert' ELSE 'update' END AS op,
+  CASE WHEN {_ROP} = 'insert' THEN {copy_key_sql('o_orderkey')} ELSE o_orderkey END AS o_orderkey, {_REST}
+  FROM base WHERE {u(41, 'o_orderkey')} < 0.1 AND ({_RECORD} % 4 <> 1 OR {_ROP} = 'delete')
+UNION ALL SELECT {_RECORD}, 'delete', o_orderkey, {_REST} FROM base WHERE {u(41, 'o_orderkey')} >= 0.1 AND {_RECORD} % 4 = 2 AND {u(44, 'o_orderkey')} < 0.01
+UNION ALL SELECT {_RECORD}, 'update', o_orderkey, o_custkey, 'X', o_totalprice, o_orderdate, o_orderpriority FROM base
+  WHERE {u(41, 'o_orderkey')} >= 0.1 AND {_RECORD} % 4 = 3 AND o_totalprice < 50000 AND {u(44, 'o_orderkey')} < 0.05"""
+RECORD_ERROR = "CASE WHEN record_id % 10 = 7 THEN 'no such table: orders_' || record_id END"
+
+
 # A log of query texts: one per order, from a template filled with the order's values.
 QUERY_TEMPLATES = (
     "SELECT o.o_orderkey, c.c_name FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey "
@@ -179,6 +212,8 @@ QUERY_TEMPLATES = (
     "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name LIKE '%xyz%'",
     "SELECT AVG(o_totalprice) FROM orders WHERE LOWER(o_orderstatus) = '{s}'",
     "  ;  ; UPDATE customer SET c_acctbal = 0 WHERE c_custkey = {c}",
+    "SELECT c.c_name FROM orders JOIN customer c ON (orders.o_custkey = c.c_custkey) WHERE c.c_acctbal > -99.75",
+    "SELECT c_name FROM customer WHERE c_name = 'it''s {c}' AND c_acctbal = 1234.5",
 )
 
 
@@ -306,7 +341,7 @@ FK_EDGES = ("SELECT * FROM (VALUES " + ", ".join(
 
 
 def _as_text(column: str, kind: str) -> str:
-    return f"CAST(CAST({column} AS DECIMAL(18,4)) AS VARCHAR)" if kind == "REAL" else f"CAST({column} AS VARCHAR)"
+    return f"CAST({column} + 0.0::DOUBLE AS VARCHAR)" if kind == "REAL" else f"CAST({column} AS VARCHAR)"
 
 
 # every value of every column as (table_name, column_name, value)

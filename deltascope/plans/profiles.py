@@ -34,7 +34,7 @@ FROM (SELECT DISTINCT * FROM ({text_values(columns)}) WHERE value IS NOT NULL) G
 # CTE dict(table_name, column_name, value), to follow WITH
 VALUE_DICTIONARY = f"""dict AS (SELECT DISTINCT v.* FROM ({text_values(INDEXED)}) v JOIN ({_lengths(INDEXED)}) s
   ON v.table_name = s.table_name AND v.column_name = s.column_name WHERE v.value IS NOT NULL AND (
-  (contains(lower(s.column_name), 'name') AND sum_lengths < 5000000) OR (sum_lengths < 2000000 AND sum_lengths / n_distinct < 25)
+  contains(lower(s.column_name), 'name') OR sum_lengths / n_distinct < 25
   OR n_distinct < 100))"""
 
 

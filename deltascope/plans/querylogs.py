@@ -48,11 +48,19 @@ def query_cluster(spark, sf):
     return querylog.cluster(fx.query_log(spark, sf))
 
 
+# A word that is no alias gets a mark in front, which the pattern of an alias does not take.
+_REF = "'\\b(?:from|join)\\s+([\\p{L}\\p{N}_]+)(?:\\s+as)?\\s+([\\p{L}\\p{N}_]+)'"
+
+
+def _marked(low: str) -> str:
+    stop = "|".join(w for w in text.NOT_ALIAS if w != "as")
+    return f"regexp_replace({low}, '\\b({stop})\\b', '~\\1', 'g')"
+
+
 def _words(column: str) -> str:
     low = f"lower({column})"
-    stop = ", ".join(f"'{w}'" for w in text.NOT_ALIAS)
-    alias = (f"list_concat(regexp_extract_all({low}, '\\bas\\s+([\\p{{L}}\\p{{N}}_]+)', 1), list_filter(regexp_extract_all({low}, "
-             f"'\\b(?:from|join)\\s+([\\p{{L}}\\p{{N}}_]+)(?:\\s+as)?\\s+([\\p{{L}}\\p{{N}}_]+)', 2), lambda w: w NOT IN ({stop})))")
+    alias = (f"list_concat(regexp_extract_all({low}, '\\bas\\s+([\\p{{L}}\\p{{N}}_]+)', 1), "
+             f"regexp_extract_all({_marked(low)}, {_REF}, 2))")
     return (f"list_filter(regexp_extract_all({low}, '([\\p{{L}}\\p{{N}}_]+)', 1), "
             f"lambda w: w <> 'as' AND NOT list_contains({alias}, w))")
 
@@ -130,13 +138,12 @@ def query_table_usage(spark, sf):
     return used.withColumn("columns", F.array_join("columns", ","))
 
 
-_REF = "'\\b(?:from|join)\\s+([\\p{L}\\p{N}_]+)(?:\\s+as)?\\s+([\\p{L}\\p{N}_]+)'"
-_CHAIN = ("'(?i)\\bon\\s+(\\w+\\.\\w+\\s*=\\s*\\w+\\.\\w+(?:\\s+and\\s+[\\w.]+\\s*(?:<=|>=|<>|=|<|>)\\s*(?:''[^'']*''|[\\w.]+))*)'")
+_CHAIN = ("'(?i)\\bon\\b\\s*\\(*\\s*(\\w+\\.\\w+\\s*=\\s*\\w+\\.\\w+(?:\\s+and\\s+[\\w.]+\\s*(?:<=|>=|<>|=|<|>)\\s*(?:''[^'']*''|[\\w.]+))*)'")
 _EQ = "'(\\w+)\\.(\\w+)\\s*=\\s*(\\w+)\\.(\\w+)'"
 
 
 @query("join_pairs", f"""{LOG},
-refs AS (SELECT query_id, unnest(regexp_extract_all(lower(query), {_REF}, 1)) AS t, unnest(regexp_extract_all(lower(query), {_REF}, 2)) AS a FROM qlog),
+refs AS (SELECT query_id, unnest(regexp_extract_all({_marked('lower(query)')}, {_REF}, 1)) AS t, unnest(regexp_extract_all({_marked('lower(query)')}, {_REF}, 2)) AS a FROM qlog),
 chains AS (SELECT query_id, unnest(regexp_extract_all(lower(query), {_CHAIN}, 1)) AS c FROM qlog),
 eq AS (SELECT query_id, {", ".join(f"unnest(regexp_extract_all(c, {_EQ}, {i})) AS {n}" for i, n in enumerate(("lt", "lc", "rt", "rc"), 1))} FROM chains)
 SELECT coalesce(l.t, lt) || '.' || lc AS left_column, coalesce(r.t, rt) || '.' || rc AS right_column, count(*) AS n_joins
@@ -145,13 +152,13 @@ def join_pairs(spark, sf):
     return querylog.join_mining(fx.query_log(spark, sf))
 
 
-_COND = "'(?i)(\\w+\\()?(?:\\w+\\.)?(\\w+)\\)?\\s*(<=|>=|<>|!=|=|<|>|\\blike\\b)\\s*(?:''([^'']*)''|(\\d+))'"
+_COND = "'(?i)(\\w+\\()?(?:\\w+\\.)?(\\w+)\\)?\\s*(<=|>=|<>|!=|=|<|>|\\blike\\b)\\s*(?:''((?:[^'']|'''')*)''|(-?\\d+(?:\\.\\d+)?))'"
 
 
 @query("condition_literals", f"""{WITH_USAGE}, {VALUE_DICTIONARY},
 c AS (SELECT query_id, {", ".join(f"unnest(regexp_extract_all(query, {_COND}, {i})) AS g{i}" for i in range(1, 6))} FROM qlog),
 f AS (SELECT query_id, coalesce(g1, '') <> '' AS in_call, lower(g2) AS col, lower(g3) = 'like' AS is_like,
-  CASE WHEN g5 <> '' THEN g5 WHEN lower(g3) = 'like' THEN replace(g4, '%', '') ELSE g4 END AS literal FROM c),
+  CASE WHEN g5 <> '' THEN g5 WHEN lower(g3) = 'like' THEN replace(replace(g4, '%', ''), '''''', '''') ELSE replace(g4, '''''', '''') END AS literal FROM c),
 p AS (SELECT table_name, column_name, literal, in_call, is_like, count(DISTINCT f.query_id) AS n FROM f
   JOIN usedcol ON f.query_id = usedcol.query_id AND col = lower(column_name) GROUP BY ALL),
 m AS (SELECT p.*, (SELECT min(value) FROM dict d WHERE d.table_name = p.table_name AND d.column_name = p.column_name

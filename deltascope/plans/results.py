@@ -121,7 +121,7 @@ _TOP = """SELECT {cols} FROM {t} QUALIFY row_number() OVER (PARTITION BY sample_
 
 
 @query("validate_insert", f"""WITH base AS ({fx.ORDERS_BASE}),
-more AS (SELECT * FROM base UNION ALL SELECT * REPLACE (o_orderkey + {fx.KEY_SHIFT} AS o_orderkey) FROM base WHERE {u(3, 'o_orderkey')} < 0.01),
+more AS (SELECT * FROM base UNION ALL SELECT * REPLACE ({fx.copy_key_sql('o_orderkey')} AS o_orderkey) FROM base WHERE {u(3, 'o_orderkey')} < 0.01),
 gold AS ({_RESULT.format('base')}), altered AS ({_RESULT.format('more')}),
 cmp AS (SELECT has_limit, {_COLS}, count_if(side = 'g') AS n_gold, count_if(side = 'a') AS n_altered FROM (
   SELECT 'g' AS side, false AS has_limit, {_COLS} FROM gold UNION ALL SELECT 'a', false, {_COLS} FROM altered
@@ -135,7 +135,7 @@ SELECT sample_id, has_limit, n_new, n_displaced, msg = '' AS is_valid, nullif(ms
 def validate_insert(spark, sf):
     base, customer = fx.orders_base(spark, sf), read_table(spark, sf, "customer")
     copies = base.filter(hash01(3, F.col("o_orderkey")) < 0.01).withColumn(
-        "o_orderkey", F.col("o_orderkey") + fx.KEY_SHIFT)
+        "o_orderkey", fx.copy_key(F.col("o_orderkey")))
     gold = large_orders(base, customer)
     altered = large_orders(alter.insert_rows(base, copies), customer)
 

@@ -214,7 +214,7 @@ def run_log(spark, sf):
     return outcome.select("c_custkey", status.alias("status"), (hash01(74, key) < 0.2).alias("is_aggregate"))
 
 
-@query("status_stats", f"""
+@query("pipeline_stats", f"""
 WITH a AS (SELECT * FROM ({fx.ATTEMPTS}) WHERE attempt <= 3),
 o AS (SELECT c_custkey, CASE WHEN bool_or(is_valid) THEN 'success' WHEN max_by(call_failed, attempt) THEN 'failed_llm' ELSE 'failed_validation' END AS outcome FROM a GROUP BY c_custkey),
 s AS (SELECT CASE WHEN {u(71, 'c_custkey')} < 0.1 THEN NULL WHEN {u(72, 'c_custkey')} < 0.05 THEN 'skipped_error' WHEN {u(73, 'c_custkey')} < 0.1 THEN 'skipped_empty' ELSE outcome END AS status,
@@ -223,5 +223,5 @@ c AS (SELECT count(*) AS total_samples, count(status) AS processed, count_if(sta
   count_if(status = 'skipped_error')::BIGINT AS skipped_query_error, count_if(status IS NOT NULL AND is_aggregate)::BIGINT AS processed_aggregate,
   count_if(status = 'failed_validation')::BIGINT AS failed_validation_after_retries, count_if(status = 'failed_llm')::BIGINT AS failed_llm_error FROM s)
 SELECT *, printf('%.1f%%', success / greatest(processed, 1) * 100) AS success_rate FROM c""")
-def status_stats(spark, sf):
+def pipeline_stats(spark, sf):
     return score.status_stats(run_log(spark, sf))

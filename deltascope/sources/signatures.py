@@ -24,6 +24,7 @@ def save_store(dictionary: DataFrame, path: str, bands: int, rows: int) -> Signa
     buckets reads few row groups.
     """
     spark = dictionary.sparkSession
+    _missing.discard(path)
     dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
     saved = spark.read.parquet(f"{path}/dictionary")
     similar.minhash(saved, "value").write.mode("overwrite").parquet(f"{path}/signatures")

@@ -97,8 +97,42 @@ def test_verdict_names_missing_tables(spark):
     assert diff.diff_verdict({"a": t}, {"a": t}).first()["matches"]
 
 
-def test_snapshots_of_one_scan_equal_the_separate_plans(spark, sf):
-    together = fx.order_snapshots(spark, sf)
-    separate = {"original": fx.orders_base(spark, sf), "altered": fx.orders_altered(spark, sf), **fx.orders_fixed(spark, sf)}
-    for name, df in separate.items():
-        assert diff.diff_bag(together.filter(F.col("snapshot") == name).select(*df.columns), df).count() == 0, name
+def test_copies_keep_apart_from_keys_of_any_size(spark):
+    a = spark.createDataFrame([(10**9 + 5, 1), (3, 2), (2**62, 3)], "k long, v int")
+    copies = a.withColumn("k", fx.copy_key(F.col("k")))
+    b = a.unionByName(copies)
+    assert {r["change"] for r in diff.diff_keyed(a, b, ["k"]).collect()} == {"inserted"}
+    delta = repair.repair_from_diff(diff.diff_keyed(a, b, ["k"]), ["k"], ["v"])
+    assert diff.diff_bag(a, alter.snapshot(b, delta, ["k"])).count() == 0
+
+
+def test_null_keys_meet(spark):
+    a = spark.createDataFrame([(None, 1), (2, 2)], "k int, v int")
+    b = spark.createDataFrame([(None, 3), (2, 2)], "k int, v int")
+    for wide in (False, True):
+        assert diff.diff_keyed(a, a, ["k"], wide=wide).count() == 0
+        assert rows(diff.diff_keyed(a, b, ["k"], wide=wide).select("k", "change")) == [(None, "modified")]
+
+
+def test_insert_refuses_taken_and_repeated_keys(spark):
+    t = spark.createDataFrame([(1, 1), (2, 2)], "k int, v int")
+    good = spark.createDataFrame([(3, 3), (4, 4)], "k int, v int")
+    assert alter.apply_one({"t": t}, Alteration("t", "insert", rows=good, pk=["k"]))["t"].count() == 4
+    for bad in ([(1, 9)], [(5, 1), (5, 2)]):
+        new = spark.createDataFrame(bad, "k int, v int")
+        with pytest.raises(Exception, match="key is taken"):
+            alter.apply_one({"t": t}, Alteration("t", "insert", rows=new, pk=["k"]))["t"].collect()
+
+
+def test_a_fix_is_applied_to_the_altered_table(spark):
+    base = spark.createDataFrame([(1, "a", 200.0), (2, "a", 300.0), (3, "b", 50.0)], "k long, g string, p double")
+    cols = "record_id long, op string, k long, g string, p double"
+    altered = spark.createDataFrame([(1, "delete", 1, None, None), (2, "delete", 1, None, None), (3, "update", 3, "b", 60.0),
+                                     (4, "insert", -2, "c", 500.0), (5, "delete", 1, None, None)], cols)
+    fixes = spark.createDataFrame([(1, "insert", 1, "a", 200.0), (2, "insert", 1, "a", 201.0), (3, "update", 2, "a", 300.0)], cols)
+    errors = spark.createDataFrame([(5, "no such table")], "record_id long, error string")
+    out = {r["record_id"]: r for r in repair.evaluate_fixes(base, altered, fixes, ["k"], errors, "p > 100", ["g"], "p").collect()}
+    assert [(out[i]["gold_result_score"], out[i]["full_restore_score"]) for i in range(1, 6)] == [(1, 1), (0, 0), (1, 0), (0, 0), (0, 0)]
+    assert out[2]["description"] == "gold_sql result mismatch: expected 1 row(s), got 1 row(s). Missing: 1 row(s), extra: 1 row(s)"
+    assert out[4]["description"] == "gold_sql result mismatch: expected 1 row(s), got 2 row(s). Missing: 0 row(s), extra: 1 row(s)"
+    assert out[5]["description"] == "Fix SQL execution failed: no such table"

@@ -18,6 +18,20 @@ def test_statistics_count_nulls_copies_and_long_texts(spark):
     assert r["k"]["distinct_count"] == 6
 
 
+def test_doubles_are_profiled_exactly(spark):
+    t = spark.createDataFrame([(1.00001,), (1.00002,), (1.00003,), (1e16,), (0.0,), (-0.0,)], "d double")
+    r = profile.column_statistics(profile.column_values({"t": t})).first()
+    assert (r["distinct_count"], r["row_count"]) == (5, 6)
+
+
+def test_dictionary_keeps_large_columns(spark):
+    stats = spark.createDataFrame([("t", "c_name", 10**12, 10**10), ("t", "code", 10**12, 10**11), ("t", "body", 10**12, 10**6)],
+                                  "table_name string, column_name string, sum_lengths long, distinct_count long")
+    kept = stats.filter(profile.dictionary_column()).select("column_name")
+    assert {r[0] for r in kept.collect()} == {"c_name", "code"}
+    assert stats.filter(profile.dictionary_column(10**6)).count() == 0
+
+
 def test_text_columns_by_name():
     rows_ = [("t", c, "TEXT", i, c == "code") for i, c in enumerate(
         ["code", "Code", "user_id", "homepage_url", "birthdate", "userId", "title"])] + [("u", "n", "INTEGER", 0, False)]

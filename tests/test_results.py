@@ -18,6 +18,22 @@ def test_row_key_normalises_numbers_and_keeps_nulls(spark):
     assert half.select(row_key(half)).first()[0] == '{"b": 0.5}'
 
 
+def test_row_key_of_large_numbers(spark):
+    a = spark.createDataFrame([(1e16,)], "a double")
+    b = spark.createDataFrame([(10**16,)], "a long")
+    assert a.select(row_key(a)).first() == b.select(row_key(b)).first()
+    c = spark.createDataFrame([(1e30,), (float("nan"),)], "a double")
+    assert c.select(row_key(c)).first()[0] == '{"a": 1000000000000000000000000000000}'
+
+
+def test_rows_without_an_order_value_get_numbers(spark):
+    df = spark.createDataFrame([("a", None), ("a", 5), ("a", 250)], "k string, v int")
+    got = bucketed_row_number(df, ["k"], [F.col("v")], F.floor(F.col("v") / 100))
+    assert rows(got.select("v", "row_no")) == rows(spark.createDataFrame([(None, 1), (5, 2), (250, 3)], "v int, n long"))
+    near = bucketed_neighbour(df, ["k"], ["v"], F.floor(F.col("v") / 100), ["v"], "next")
+    assert near.count() == 3
+
+
 def long(spark, data):
     return spark.createDataFrame(data, "sample_id long, v string, n double")
 

@@ -57,6 +57,14 @@ def test_missing_store_is_remembered(spark, tmp_path):
             signatures.load_store(spark, str(tmp_path / "none"))
 
 
+def test_a_store_can_be_saved_after_a_failed_load(spark, tmp_path):
+    path = str(tmp_path / "late")
+    with pytest.raises(FileNotFoundError):
+        signatures.load_store(spark, path)
+    values = spark.createDataFrame([("t", "c", "some ring")], "table_name string, column_name string, value string")
+    assert signatures.save_store(values, path, 20, 5).dictionary.count() == 1
+
+
 def test_shared_folder_and_written_tables(spark):
     df = spark.range(10).withColumnRenamed("id", "k")
     saved = cut_lineage(df)

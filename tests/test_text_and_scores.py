@@ -52,6 +52,17 @@ def test_join_pairs_resolve_aliases(spark):
     assert got == [("a.i", "b.j"), ("a.m", "b.n"), ("c.p", "a.q")]
 
 
+def test_joins_after_a_bare_table_and_in_brackets(spark):
+    sql = "SELECT c.x FROM orders JOIN customer c ON (orders.k = c.k)"
+    assert [(p["left"], p["right"]) for p in one(spark, sql, text.join_pairs)] == [("orders.k", "customer.k")]
+    assert set(one(spark, sql, text.aliases)) == {"c"}
+
+
+def test_literals_stay_whole(spark):
+    got = one(spark, "where a = 99.75 and b > -3 and c = 'it''s' and d = -0.5", text.conditions)
+    assert [c["literal"] for c in got] == ["99.75", "-3", "it's", "-0.5"]
+
+
 def test_conditions(spark):
     got = one(spark, "WHERE t.a = 'x y' AND UPPER(b) <> 'Q' and c LIKE '%z%' and d >= 10", text.conditions)
     assert [(c["column"], c["op"], c["literal"], c["in_call"]) for c in got] == [
