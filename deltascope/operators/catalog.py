@@ -94,6 +94,9 @@ def _ticked(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda v: F.concat(F.lit("`"), v, F.lit("`"))), ", ")
 
 
+# The texts of profiles and schemas below.
+
+
 def references_text(edges: DataFrame) -> DataFrame:
     """Per column: list texts of what it references and what references it."""
     def listed(df: DataFrame, name: str) -> DataFrame:
@@ -156,14 +159,17 @@ def column_comment() -> Column:
     return F.replace(text, F.lit("\n"), F.lit(" "))
 
 
-def schema_text(columns: DataFrame, edges: DataFrame) -> DataFrame:
+def schema_text(columns: DataFrame, edges: DataFrame, include_value_description: bool = True,
+                use_fk_constraints: bool = True) -> DataFrame:
     """Schema text per table, in stable column order.
 
     ``columns`` holds the selected or connecting columns with type, ordinal,
-    is_key, examples, value_statics and descriptions; foreign keys are shown
-    when both tables are present.
+    is_key, examples, value_statics and descriptions; foreign keys are shown,
+    each once, when both tables are present. The switches leave out the
+    comments behind the columns and the foreign keys.
     """
-    column_line = F.concat(F.lit("\t"), F.col("column_name"), F.lit(" "), F.col("type"), F.lit(","), column_comment())
+    comment = column_comment() if include_value_description else F.lit("")
+    column_line = F.concat(F.lit("\t"), F.col("column_name"), F.lit(" "), F.col("type"), F.lit(","), comment)
     lines = columns.select("table_name", F.col("ordinal").alias("pos"), column_line.alias("line"))
     key_list = columns.filter("is_key").groupBy("table_name").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "column_name"))),
@@ -171,7 +177,7 @@ def schema_text(columns: DataFrame, edges: DataFrame) -> DataFrame:
     key_lines = key_list.select("table_name", F.lit(1_000_000).alias("pos"),
                                 F.concat(F.lit("\tPRIMARY KEY ("), F.col("keys"), F.lit("),")).alias("line"))
     present = columns.select("table_name").distinct()
-    fk = (edges.join(present, "table_name")
+    fk = (edges.filter(F.lit(use_fk_constraints)).distinct().join(present, "table_name")
           .join(present.select(F.col("table_name").alias("ref_table")), "ref_table"))
     fk_lines = fk.select("table_name", F.lit(1_000_001).alias("pos"), F.concat(
         F.lit("\tFOREIGN KEY ("), F.col("column_name"), F.lit(") REFERENCES "), F.col("ref_table"),

@@ -13,13 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deltascope.sources.tables import spread
-
 # Thresholds and name parts of the column rules.
 SKIP_NAME_PARTS = ("_id", " id", "url", "email", "web", "time", "phone", "date", "address")
 MAX_AVERAGE = 25
 SMALL_COUNT = 100
 CATEGORICAL_BELOW = 20
+SKIP_CHARS, SKIP_AVERAGE = 50_000, 20
 EXAMPLES, OTHER_EXAMPLES, EXAMPLE_CHARS = 5, 3, 50
 
 
@@ -61,8 +60,8 @@ def column_values(tables: Mapping[str, DataFrame],
                   columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Long form of the given (or all) columns; a name with commas is a compound key.
 
-    ``tables`` must be scans: those of few pieces are spread, since every row
-    becomes one row per column.
+    Every row becomes one row per column; how many pieces a scan has is a
+    matter of ``spark.sql.files.maxPartitionBytes``.
     """
     parts = []
     for table, df in tables.items():
@@ -72,7 +71,7 @@ def column_values(tables: Mapping[str, DataFrame],
         texts = [(F.concat_ws(",", *[as_text(df, p) for p in n.split(",")]) if "," in n else as_text(df, n)).alias(n)
                  for n in names]
         needed = sorted({p for n in names for p in n.split(",")})
-        parts.append(spread(df.select(*needed)).select(*texts).unpivot([], names, "column_name", "value")
+        parts.append(df.select(*needed).select(*texts).unpivot([], names, "column_name", "value")
                      .select(F.lit(table).alias("table_name"), "column_name", "value"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -162,7 +161,7 @@ def value_dictionary(tables: Mapping[str, DataFrame], rows: Sequence[tuple], max
 
 def column_skip(stats: DataFrame) -> DataFrame:
     """Columns too long to index: no "name" in the name, much text, long values."""
-    skip = (~F.lower("column_name").contains("name")) & (F.col("sum_lengths") > 50000) & (average_length() > 20)
+    skip = (~F.lower("column_name").contains("name")) & (F.col("sum_lengths") > SKIP_CHARS) & (average_length() > SKIP_AVERAGE)
     return stats.filter(F.col("distinct_count") > 0).select("table_name", "column_name", skip.alias("skip"))
 
 

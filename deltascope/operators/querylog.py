@@ -19,26 +19,29 @@ def cluster(log: DataFrame) -> DataFrame:
                                           F.count(F.lit(1)).alias("n_queries"))
 
 
-def table_usage(log: DataFrame, catalog: DataFrame) -> DataFrame:
+def table_usage(log: DataFrame, catalog: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Tables a query names, with the columns of these tables it names.
 
     Tokens meet the catalog once; a table's columns count only if the table
-    itself is named in the same query.
+    itself is named in the same query. ``carry`` names further columns of the
+    log to keep.
     """
-    words = log.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("token"))
+    own = ["query_id", *carry]
+    words = log.select(*own, F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("token"))
     tables = catalog.select(F.lower("table_name").alias("token"), "table_name",
                             F.lit(None).cast("string").alias("column_name")).distinct()
     columns = catalog.select(F.lower("column_name").alias("token"), "table_name", "column_name")
     hits = words.join(tables.unionByName(columns), "token")
-    per_table = hits.groupBy("query_id", "table_name").agg(
+    per_table = hits.groupBy(*own, "table_name").agg(
         F.bool_or(F.col("column_name").isNull()).alias("named"),
         F.sort_array(F.collect_set("column_name")).alias("columns"))
-    return per_table.filter("named").select("query_id", "table_name", "columns")
+    return per_table.filter("named").select(*own, "table_name", "columns")
 
 
-def column_usage(log: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(query_id, table_name, column_name) of the columns a query names."""
-    return table_usage(log, catalog).select("query_id", "table_name", F.explode("columns").alias("column_name"))
+def column_usage(log: DataFrame, catalog: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(query_id, carried columns, table_name, column_name) of the columns a query names."""
+    used = table_usage(log, catalog, carry)
+    return used.select("query_id", *carry, "table_name", F.explode("columns").alias("column_name"))
 
 
 def join_mining(log: DataFrame) -> DataFrame:

@@ -95,12 +95,13 @@ def not_processed(samples: DataFrame, done: DataFrame, keys: Sequence[str]) -> D
     return samples.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def assign_ids(records: DataFrame, key: str, last_id: Column, seed: int, buckets: int = 1024) -> DataFrame:
+def assign_ids(records: DataFrame, key: str, last_id: Column, seed: int, bucket_rows: int = 100_000) -> DataFrame:
     """Ids that continue after ``last_id``, one per record, in seeded order.
 
-    The order is a uniform draw, so its buckets are even whatever the keys are;
-    only the bucket counts meet in one task.
+    The order is a uniform draw, so its buckets have about ``bucket_rows`` rows
+    whatever the keys are; only the bucket counts meet in one task.
     """
+    buckets = records.count() // bucket_rows + 1
     drawn = records.withColumn("_draw", hash01(seed, F.col(key)))
     ranked = bucketed_row_number(drawn, [], [F.col("_draw"), F.col(key)],
                                  F.floor(F.col("_draw") * buckets), "_no")

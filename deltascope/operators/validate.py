@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from deltascope.functions.hashing import row_key, value_json
 from deltascope.functions.ranking import bucketed_row_number
 from deltascope.operators.bags import bag_counts
+from deltascope.session import cut_lineage
 
 # Messages of the validation rules.
 SAME_RESULT = "Altered result is identical to gold result — INSERT had no effect"
@@ -21,6 +22,12 @@ NOT_DISPLACED = ("LIMIT query: no original rows were displaced by the insertion.
                  "The inserted rows must rank high enough to push existing rows out of the result.")
 EMPTY_RESULT = "Empty result set (gold or altered)"
 INCORRECT, CORRECT = "incorrect answer", "--"
+STILL_PRESENT = " targeted record(s) still present in altered result: ["
+SAME_AGGREGATE = "Aggregate result did not change after alteration. Gold: "
+ALTERED = " | Altered: "
+COUNTS = ("Row count mismatch: original has ", " row(s), restored has ", " row(s).")
+ROWS_DIFFER = " row(s) differ between original and restored:\n"
+MORE = ("\n… and ", " more mismatched row(s)")
 
 
 def compare_results(gold: DataFrame, altered: DataFrame, targets: DataFrame | None,
@@ -77,8 +84,8 @@ def report(compared: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One validation result per sample of a delete or modify.
 
     Side effects are counted here and listed in full by :func:`unintended` and
-    :func:`new_rows`. The error text lists the targets still present; their
-    number is bounded by the maximum of targets per sample.
+    :func:`new_rows`. The targets missing and the targets still present are
+    listed too; their number is bounded by the maximum of targets per sample.
     """
     g, a, t = F.col("n_gold"), F.col("n_altered"), F.col("n_target")
     still = (t > 0) & (a > 0)
@@ -87,14 +94,15 @@ def report(compared: DataFrame, columns: Sequence[str]) -> DataFrame:
         _sum_if(still, "n_target").alias("n_still_present"),
         _sum_if((g > 0) & (t == 0) & (a == 0), "n_gold").alias("n_unintended_missing"),
         _sum_if((a > 0) & (g == 0), "n_altered").alias("n_new_records"),
-        F.sort_array(F.collect_list(F.when(still, F.col("_row")))).alias("_still"))
+        F.array_join(F.sort_array(F.collect_list(F.when((t > 0) & (a == 0), F.col("_row")))), ", ").alias("missing_targeted"),
+        F.array_join(F.sort_array(F.collect_list(F.when(still, F.col("_row")))), ", ").alias("still_present"))
     message = F.concat(F.col("n_still_present"),
-                       F.lit(" targeted record(s) still present in altered result: ["),
-                       F.array_join("_still", ", "), F.lit("]"))
+                       F.lit(STILL_PRESENT),
+                       F.col("still_present"), F.lit("]"))
     valid = F.col("n_still_present") == 0
     return per_sample.select("sample_id", valid.alias("is_valid"),
                              F.when(~valid, message).alias("error_message"),
-                             "n_missing_targeted", "n_still_present",
+                             "missing_targeted", "still_present", "n_missing_targeted", "n_still_present",
                              "n_unintended_missing", "n_new_records")
 
 
@@ -122,8 +130,8 @@ def report_aggregate(samples: DataFrame, gold: DataFrame, altered: DataFrame,
     b = altered.select("sample_id", row_key(altered, columns).alias("_altered"))
     joined = samples.join(a, "sample_id", "left").join(b, "sample_id", "left")
     empty = F.col("_gold").isNull() | F.col("_altered").isNull()
-    same = F.concat(F.lit("Aggregate result did not change after alteration. Gold: "), F.col("_gold"),
-                    F.lit(" | Altered: "), F.col("_altered"))
+    same = F.concat(F.lit(SAME_AGGREGATE), F.col("_gold"),
+                    F.lit(ALTERED), F.col("_altered"))
     message = F.when(empty, F.lit(EMPTY_RESULT)).when(F.col("_gold") == F.col("_altered"), same)
     return joined.select("sample_id", message.isNull().alias("is_valid"), message.alias("error_message"))
 
@@ -152,24 +160,29 @@ def positional_diff(original: DataFrame, restored: DataFrame, order: Sequence[st
     return joined.select("row_no", detail.alias("detail")).filter(F.col("detail") != "")
 
 
-def positional_summary(original: DataFrame, restored: DataFrame, mismatches: DataFrame,
-                       shown: int = 10) -> DataFrame:
-    """One row: counts, verdict and a text with the first mismatches and "N more"."""
-    n_a = original.agg(F.count(F.lit(1))).scalar()
-    n_b = restored.agg(F.count(F.lit(1))).scalar()
+def positional_summary(original: DataFrame, restored: DataFrame, order: Sequence[str], columns: Sequence[str],
+                       bucket: Column, shown: int = 10) -> DataFrame:
+    """One row: counts, verdict and a text with the first mismatches and "N more".
+
+    The rows are counted first; positions are compared only if the numbers agree.
+    """
+    n_a, n_b = original.count(), restored.count()
+    mismatches = positional_diff(original, restored, order, columns, bucket)
+    if n_a != n_b:
+        mismatches = mismatches.limit(0)
+    mismatches = cut_lineage(mismatches)
     total = mismatches.agg(F.count(F.lit(1))).scalar()
     first = mismatches.orderBy("row_no").limit(shown)
     lines = first.agg(
-        n_a.alias("n_original"), n_b.alias("n_restored"), total.alias("n_mismatched"),
+        F.lit(n_a).cast("bigint").alias("n_original"), F.lit(n_b).cast("bigint").alias("n_restored"), total.alias("n_mismatched"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "detail"))),
                                  lambda s: F.concat(F.lit("Row "), s["row_no"], F.lit(": "), s["detail"])),
                      "\n").alias("_lines"))
-    count_text = F.concat(F.lit("Row count mismatch: original has "), F.col("n_original"),
-                          F.lit(" row(s), restored has "), F.col("n_restored"), F.lit(" row(s)."))
+    count_text = F.concat(F.lit(COUNTS[0]), F.col("n_original"), F.lit(COUNTS[1]), F.col("n_restored"), F.lit(COUNTS[2]))
     more = F.when(F.col("n_mismatched") > shown,
-                  F.concat(F.lit("\n… and "), F.col("n_mismatched") - shown, F.lit(" more mismatched row(s)"))
+                  F.concat(F.lit(MORE[0]), F.col("n_mismatched") - shown, F.lit(MORE[1]))
                   ).otherwise("")
-    row_text = F.concat(F.col("n_mismatched"), F.lit(" row(s) differ between original and restored:\n"),
+    row_text = F.concat(F.col("n_mismatched"), F.lit(ROWS_DIFFER),
                         F.col("_lines"), more)
     differs = F.col("n_original") != F.col("n_restored")
     message = F.when(differs, count_text).when(F.col("n_mismatched") > 0, row_text)

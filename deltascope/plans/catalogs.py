@@ -41,7 +41,7 @@ SELECT DISTINCT user_id, table_name, column_name FROM usedcol JOIN (SELECT query
 def schema_union(spark, sf):
     log = fx.query_log(spark, sf).select("query_id", F.col("user_id").alias("user_id"), "query")
     # the union is over the queries of a user, so the user is the group of the log
-    used = querylog.column_usage(log, declared_catalog(spark, sf)).join(log.select("query_id", "user_id"), "query_id")
+    used = querylog.column_usage(log, declared_catalog(spark, sf), ["user_id"])
     return cat.union_selections(used, declared_catalog(spark, sf), ["user_id"])
 
 

@@ -23,17 +23,6 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Share the rows of a scan of few large pieces among all cores.
-
-    For work that is heavy per row. A scan of one small piece, or of at least
-    as many pieces as there are cores (any large table), stays as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    pieces = scan.rdd.getNumPartitions()
-    return scan.repartition(cores) if 1 < pieces < cores else scan
-
-
 def read_database(spark: SparkSession, directory: str,
                   names: Iterable[str] = TABLE_NAMES) -> dict[str, DataFrame]:
     """All tables of a database by name; nothing is read until a query needs it."""

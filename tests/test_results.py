@@ -85,7 +85,7 @@ def test_positional_diff_shows_ten(spark):
     a = spark.range(30).select(F.col("id").alias("k"), F.lit("x").alias("s"))
     b = a.withColumn("s", F.when(F.col("k") < 12, None).otherwise(F.col("s")))
     m = validate.positional_diff(a, b, ["k"], ["k", "s"], F.floor(F.col("k") / 7))
-    text = validate.positional_summary(a, b, m).first()["message"]
+    text = validate.positional_summary(a, b, ["k"], ["k", "s"], F.floor(F.col("k") / 7)).first()["message"]
     assert text.startswith("12 row(s) differ") and text.endswith("… and 2 more mismatched row(s)")
     assert "Row 0: column 's': original=\"x\", restored=null" in text and text.count("\nRow ") == 10
 

@@ -6,7 +6,6 @@ from pyspark.sql import types as T
 
 from deltascope.session import cut_lineage, shared_dir
 from deltascope.sources import descriptions, logs, signatures
-from deltascope.sources.tables import read_table, spread
 from deltascope.streaming import jobs
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("status", T.StringType())])
@@ -72,10 +71,6 @@ def test_shared_folder_and_written_tables(spark):
     assert shared_dir(spark)
 
 
-def test_small_scans_stay_as_they_are(spark, sf):
-    assert spread(read_table(spark, sf, "region")).rdd.getNumPartitions() == 1
-
-
 def write_lines(folder, name, records):
     folder.mkdir(exist_ok=True)
     (folder / name).write_text("\n".join(json.dumps(r) for r in records))
