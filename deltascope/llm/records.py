@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltascope.llm.common import named
+from deltascope.llm.common import join_small, named
 from deltascope.session import work_dir
 
 END_ID = 2
 MASK_DELTA = 0xA282EAD8  # fixed value of the record format
 HEAD, TAIL = 12, 5
 #: Pieces whose ids a Python worker remembers; the store is emptied when full.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 #: What \s+ of the normalizer doesn't take but str.split does, and the start of special tokens.
 ODD = re.compile(r"[\x1c-\x1f]|<\|")
 #: A piece that lower-cases the same way everywhere: Latin letters, then full stops and commas.
@@ -56,21 +56,30 @@ class Encoder:
     and gives no token, so a text is the sequence of its white-space-separated
     pieces. Pieces met for the first time are encoded together and their ids
     remembered; a text with characters on which the two notions of white space
-    differ, or with a special token's opening, is encoded whole.
+    differ, or with a special token's opening, is encoded whole, and so is
+    every text for another kind of tokenizer.
     """
 
     def __init__(self, path: str, cache: int = CACHE_PIECES):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for lower-case Latin words and marks, blanks between them: the normalizer has nothing to do, a blank cuts
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = "Straße, ÀÉ?! no."
+        self.cuts = (getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>" and
+                     self.tokenizer.encode(probe, add_special_tokens=False).ids
+                     == self.plain.encode("straße , àé ?! no .", add_special_tokens=False).ids)
         self.wide = self.tokenizer.get_vocab_size() > 65536
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.limit = cache
         self.known: dict[str, bytes] = {}
-        suffix = "</w>"
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.closes[i] = token.endswith(suffix)
+            self.closes[i] = token.endswith("</w>")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
@@ -92,7 +101,7 @@ class Encoder:
         todo = [x for x in parts if x not in self.known]
         for i in range(0, len(todo), 500):
             some = todo[i:i + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.kind)
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some):
                 starts = [0, *ends[:-1].tolist()]
@@ -107,7 +116,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > self.limit:
             self.known.clear()
-        odd = [bool(ODD.search(t)) for t in texts]
+        odd = [not self.cuts or bool(ODD.search(t)) for t in texts]
         cut = [None if o else t.split() for t, o in zip(texts, odd)]
         known = self.known
         new = {p for words in cut if words for p in words if p not in known}
@@ -224,13 +233,13 @@ def write_index(spark: SparkSession, path: str, index: str) -> str:
 
 
 def read_digests(spark: SparkSession, path: str, index: str) -> DataFrame:
-    """doc_id, record, start, n_tokens, ids_crc32 of each record, read from the files at the index's offsets."""
+    """doc_id, record, start, n_tokens, ids_crc32 of each record, read from the files; the index gives what is before a file."""
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, first, start, offsets in zip(*(batch.column(i) for i in range(4))):
+            for blob, first, start in zip(*(batch.column(i) for i in range(3))):
                 content, record, at = blob.as_py(), first.as_py(), start.as_py()
                 rows = []
-                for offset in offsets.as_py():
+                for offset, _ in records(content):
                     doc, ids = read_record(content, offset)
                     rows.append((doc, record, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     record, at = record + 1, at + len(ids)
@@ -238,7 +247,8 @@ def read_digests(spark: SparkSession, path: str, index: str) -> DataFrame:
                     [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5,
                     names=["doc_id", "record", "start", "n_tokens", "ids_crc32"])
 
-    both = _files(spark, path).join(spark.read.parquet(index), "file").select("content", "first_record", "first_token", "offsets")
+    firsts = spark.read.parquet(index).select("file", "first_record", "first_token")
+    both = join_small(_files(spark, path), firsts, ["file"]).select("content", "first_record", "first_token")
     return both.mapInArrow(digest, "doc_id long, record long, start long, n_tokens long, ids_crc32 long")
 
 
