@@ -4,8 +4,13 @@ Items are the indexed documents, passages of the training texts the queries.
 Passages are windows of twice the longest item, half a window apart, so any
 item lies in one of them. An item is retrieved if its BM25 score for the
 passage's distinct words is at least a share of its score for its own words;
-impacts are stored as shares of that, so one threshold serves all items. A
-retrieved item is then verified: enough of the five-word shingles of its
+impacts are stored as shares of that, so one threshold serves all items.
+
+Each item has key words: its rarest ones, without which it can't reach half of
+the threshold. A screen adds up the impacts of the key words of each passage,
+for all passages at once; where these and all other words of an item together
+stay below the threshold, block-max WAND could have found no pivot. It runs
+over the whole passage for all that are left. A retrieved item is then verified: enough of the five-word shingles of its
 question, and of its answer, must be in the passage.
 """
 
@@ -13,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +74,11 @@ class Index:
     questions: list[np.ndarray]
     answers: list[np.ndarray]
     window: int
-    step: int = field(default=0)
+    step: int
+    key_starts: np.ndarray  # of each word: its range in the next two
+    key_items: np.ndarray
+    key_impacts: np.ndarray
+    other: np.ndarray  # of each item: the impacts of its other words together
 
 
 def build_index(items: list[tuple[int | None, str]], frequency: dict[int, int], n_items: int, mean_words: float,
@@ -100,7 +109,24 @@ def build_index(items: list[tuple[int | None, str]], frequency: dict[int, int],
     impacts = [np.array([s for _, s in entries[v]]) for v in vocabulary.tolist()]
     block_most = [np.array([x[i:i + BLOCK].max() for i in range(0, len(x), BLOCK)]) for x in impacts]
     most = np.array([x.max() for x in impacts])
-    return Index(vocabulary, lists, impacts, most, block_most, ids, questions, answers, window, window // 2)
+    own: list[list[tuple[int, float, int]]] = [[] for _ in ids]
+    for t, (items_, shares) in enumerate(zip(lists, impacts)):
+        for i, s in zip(items_.tolist(), shares.tolist()):
+            own[i].append((len(items_), -s, t))
+    keys: list[list[tuple[int, float]]] = [[] for _ in lists]
+    other = np.zeros(len(ids))
+    for i, words in enumerate(own):
+        rest = 1.0
+        for _, negative, t in sorted(words):  # rarest first
+            if rest < RETRIEVE / 2:
+                break
+            keys[t].append((i, -negative))
+            rest += negative
+        other[i] = rest
+    flat = [x for k in keys for x in k]
+    return Index(vocabulary, lists, impacts, most, block_most, ids, questions, answers, window, window // 2,
+                 np.concatenate([[0], np.cumsum([len(k) for k in keys])]), np.array([i for i, _ in flat], dtype=np.int64),
+                 np.array([s for _, s in flat]), other)
 
 
 def block_max_wand(index: Index, terms: list[int], least: float) -> list[tuple[int, float]]:
@@ -159,39 +185,46 @@ def passages(n_words: np.ndarray, window: int, step: int) -> np.ndarray:
 
 def search(index: Index, texts: list[str], retrieve: float = RETRIEVE, least_overlap: float = OVERLAP) -> list[tuple]:
     """(text number, item id, score, question overlap, answer overlap) of each verified item of each text; best passage."""
+    if len(index.other) and retrieve <= index.other.max():
+        raise ValueError("the key words were chosen for a higher threshold")
     hashes, _, _, bounds = word_hashes(texts)
     if not len(hashes) or not len(index.vocabulary):
         return []
     at = np.minimum(np.searchsorted(index.vocabulary, hashes), len(index.vocabulary) - 1)
-    known = np.flatnonzero(index.vocabulary[at] == hashes)
-    term = at[known]
-    sizes = np.diff(bounds)
-    windows = passages(sizes, index.window, index.step)
+    met = index.vocabulary[at] == hashes
+    windows = passages(np.diff(bounds), index.window, index.step)
     first = np.concatenate([[0], np.cumsum(windows)])
-    owner = np.repeat(np.arange(len(texts)), sizes)[known]
+    if not len(index.item_ids) or not first[-1]:
+        return []
+
+    # (window, key word), each once
+    known = np.flatnonzero(met & (np.diff(index.key_starts) > 0)[at])
+    owner = np.searchsorted(bounds, known, side="right") - 1
     late = (known - bounds[owner]) // index.step  # a word is in this window and the one before
     pairs = []
     for back in (0, 1):
         w = late - back
         ok = (w >= 0) & (w < windows[owner])
-        pairs.append((first[owner[ok]] + w[ok]) * len(index.vocabulary) + term[ok])
-    both = np.unique(np.concatenate(pairs))
-    if not len(both):
+        pairs.append((first[owner[ok]] + w[ok]) * len(index.vocabulary) + at[known[ok]])
+    window_of, term_of = np.divmod(np.unique(np.concatenate(pairs)), len(index.vocabulary))
+    # the screen: impacts of the key words by (window, item)
+    n = index.key_starts[term_of + 1] - index.key_starts[term_of]
+    entry = np.repeat(index.key_starts[term_of] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    cell = np.repeat(window_of, n) * len(index.item_ids) + index.key_items[entry]
+    order = np.argsort(cell, kind="stable")
+    cell, share = cell[order], index.key_impacts[entry[order]]
+    if not len(cell):
         return []
-    window_of, term_of = np.divmod(both, len(index.vocabulary))
-    starts = np.flatnonzero(np.concatenate([[True], window_of[1:] != window_of[:-1]]))
-    # the outermost bound: no pivot can exist below it
-    hopeful = np.flatnonzero(np.add.reduceat(index.most[term_of], starts) >= retrieve - 1e-9)
-    ends = np.concatenate([starts[1:], [len(both)]])
+    heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    sums = np.add.reduceat(share, heads)
+    hopeful = np.unique(cell[heads][sums + index.other[cell[heads] % len(index.item_ids)] >= retrieve - 1e-9] // len(index.item_ids))
     best: dict[tuple[int, int], tuple] = {}
-    for k in hopeful.tolist():
-        got = block_max_wand(index, term_of[starts[k]:ends[k]].tolist(), retrieve)
-        if not got:
-            continue
-        w = int(window_of[starts[k]])
+    for w in hopeful.tolist():
         text = int(np.searchsorted(first, w, side="right")) - 1
         a = int(bounds[text]) + (w - int(first[text])) * index.step
-        words = hashes[a:min(a + index.window, int(bounds[text + 1]))]
+        z = min(a + index.window, int(bounds[text + 1]))
+        words = hashes[a:z]
+        got = block_max_wand(index, np.unique(at[a:z][met[a:z]]).tolist(), retrieve)
         for item, score in got:
             q, r = overlap(index.questions[item], words), overlap(index.answers[item], words)
             if min(q, r) >= least_overlap and score > best.get((text, item), (0.0,))[0]:

@@ -11,10 +11,11 @@ import pyarrow as pa
 WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+INSIDE_CODE = np.where(WORD_BYTE, BYTE_CODE, np.uint64(0))
 PLACE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 STEP_CODE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-#: Characters hashed together.
-SLICE_CHARS = 2_000_000
+#: Characters hashed together: few enough that the arrays stay in the cache.
+SLICE_CHARS = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,11 +42,11 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends, bounds
-    spread = np.where(inside, BYTE_CODE[data], np.uint64(0))
-    owner = np.cumsum(edge[:-1] == 1) - 1
-    place = (np.arange(len(data)) - starts[np.maximum(owner, 0)]) & 255
-    spread *= PLACE_CODE[place]
-    spread ^= spread >> np.uint64(29)
+    spread = INSIDE_CODE[data]
+    # place in the word, modulo 256; what stands between words has code 0
+    begin = np.zeros(len(data), dtype=np.int32)
+    begin[starts[0]:] = np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(data))))
+    spread *= PLACE_CODE[(np.arange(len(data), dtype=np.int32) - begin).astype(np.uint8)]
     return mix(np.add.reduceat(spread, starts) + (ends - starts).astype(np.uint64)), starts, ends, bounds
 
 
