@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltascope.llm.common import join_small, named, salted_join
@@ -26,23 +26,61 @@ from deltascope.session import cut_lineage
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: At similarity 0.8 a pair shares no sketch with probability (1 - 0.8 ** ORDERED) ** SKETCHES = 1e-5.
-SKETCHES, ORDERED = 16, 3
-#: Groups of one sketch up to this size are compared in full, larger ones with their heads.
-SMALL_GROUP = 12
+#: Sketches of a text and shingles in one. Two texts are compared if they share SHARED of them; at similarity 0.8
+#: one sketch is shared with probability 0.8 ** ORDERED, and fewer than SHARED with probability 1e-6.
+SKETCHES, ORDERED, SHARED = 24, 3, 2
+#: Odd multipliers, each of which orders the shingles anew.
+ORDERS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, (SKETCHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: One bit of each of BITS least shingles (4 longs), by which pairs far below a similarity are passed over. Texts of
+#: similarity s agree on at least (1 + s) / 2 of the bits, but for chance; DEVIATIONS of it are granted, so a pair at the
+#: similarity is lost with probability 1e-5.
+BITS, DEVIATIONS = 256, 4.3
+BIT_ORDERS = np.random.Generator(np.random.PCG64(78)).integers(1, 2**63, (BITS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BIT_COLUMNS = ["b0", "b1", "b2", "b3"]
+#: In place of a NULL id.
+LAST = 2**63 - 1
+
+
+def order_sketches(values: np.ndarray) -> np.ndarray:
+    """Keys of the Order MinHash sketches of a sequence of labelled shingles.
+
+    The shingles are well mixed numbers, so their products with an odd number
+    are as good as a random order of them.
+    """
+    take = min(ORDERED, len(values))
+    if not take:
+        return np.zeros(0, dtype=np.int64)
+    ranks = values[None, :] * ORDERS
+    least = np.empty((SKETCHES, take), dtype=np.int64)
+    each = np.arange(SKETCHES)
+    for i in range(take):
+        least[:, i] = at = ranks.argmin(axis=1)
+        ranks[each, at] = np.uint64(2**64 - 1)
+    least.sort(axis=1)  # back to the order of the text
+    keys = (values[least] * STEP_CODE[20:20 + take]).sum(axis=1, dtype=np.uint64)
+    return mix(keys + each.astype(np.uint64)).view(np.int64)
+
+
+def least_bits(values: np.ndarray) -> np.ndarray:
+    """One bit of the least shingle under each of many orders, packed into four numbers."""
+    if not len(values):
+        return np.zeros(4, dtype=np.int64)
+    least = np.empty(BITS, dtype=np.uint64)
+    for i in range(0, BITS, 64):  # some orders at a time: the products of a long text are large
+        least[i:i + 64] = (values[None, :] * BIT_ORDERS[i:i + 64]).min(axis=1)
+    return np.packbits((mix(least) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
-def order_sketches(values: np.ndarray, sketches: int = SKETCHES, ordered: int = ORDERED) -> np.ndarray:
-    """Keys of the Order MinHash sketches of a sequence of labelled shingles."""
-    if not len(values):
-        return np.zeros(0, dtype=np.int64)
-    take = min(ordered, len(values))
-    keys = np.empty(sketches, dtype=np.uint64)
-    for i in range(sketches):
-        x = mix(values ^ STEP_CODE[i])
-        least = np.sort(np.argpartition(x, take - 1)[:take]) if take < len(x) else np.arange(take)
-        keys[i] = np.sum(values[least] * STEP_CODE[20:20 + take]) + np.uint64(i)
-    return mix(keys).view(np.int64)
+def enough_bits(similarity: float) -> int:
+    """Bits on which two texts of a similarity agree at least."""
+    share = (1 + similarity) / 2
+    return int(BITS * share - DEVIATIONS * (BITS * share * (1 - share)) ** 0.5)
+
+
+def _alike(u: str, x: str, similarity: float) -> Column:
+    """Whether the bits of two rows allow a similarity."""
+    differ = [F.bit_count(F.col(f"{u}.{c}").bitwiseXOR(F.col(f"{x}.{c}"))) for c in BIT_COLUMNS]
+    return differ[0] + differ[1] + differ[2] + differ[3] <= BITS - enough_bits(similarity)
 
 
 def band_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -84,10 +122,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, texts in text_slices(batch, 3):
             hashes, _, _, bounds = word_hashes(texts)
-            rows = [order_sketches(labelled(shingles(hashes[bounds[i]:bounds[i + 1]], SHINGLE))) for i in range(len(texts))]
+            runs = [labelled(shingles(hashes[bounds[i]:bounds[i + 1]], SHINGLE)) for i in range(len(texts))]
             part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(rows, pa.list_(pa.int64()))],
-                                             names=["doc_id", "t1", "t2", "sketches"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), part.column(2), pa.array([len(r) for r in runs], pa.int32()),
+                 pa.array([order_sketches(r) for r in runs], pa.list_(pa.int64())),
+                 *[pa.array(c) for c in np.array([least_bits(r) for r in runs]).T]],
+                names=["doc_id", "t1", "t2", "size", "sketches", *BIT_COLUMNS])
 
 
 def _compare(least: float):
@@ -120,7 +161,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, least: float) ->
     the texts under (doc_id, t1, t2). Only the texts in a pair are shuffled.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = cut_lineage(nodes.join(ends, "id", "left_semi"))
+    wanted = cut_lineage(nodes.select("id", "doc_id", "t1", "t2").join(ends, "id", "left_semi"))
     involved = join_small(rows, wanted, ["doc_id", "t1", "t2"]).select("id", "text").dropDuplicates(["id"])
     counts = pairs.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     total = pairs.count()
@@ -150,63 +191,74 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _sharing(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that come ``SHARED`` times or more."""
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED).select("a", "b")
+
+
 def _compare_groups(groups: DataFrame, nodes: DataFrame, rows: DataFrame, threshold: float) -> DataFrame | None:
-    """Links (a, b) among all texts with one sketch; ``groups`` has (sketch, id).
-
-    Small groups are compared in full. In a large one, the head (smallest id)
-    is compared with the others. Those that get into its class need no further
-    links to it. For each other text u, a link to a text x of the head's class
-    needs |d(head, u) - d(head, x)| <= 1 - threshold, as the distance is a
-    metric, so only such pairs are compared; and the others make up a smaller
-    group for the next round.
+    """(id, class_id) of the texts that are linked to another; ``groups`` has (sketch, id, size), size in shingles.
+
+    First the head of each group, the text that is in the largest groups (then
+    the smallest id), is compared with the others, and classes are formed. Two
+    texts that are in the head's class need no further link. So only the texts
+    u outside it are compared with the texts x of the group that are in
+    another class than u, if the sizes and the bits allow the threshold, and if
+    the distances to the head do: the distance d is a metric, so
+    |d(head, u) - d(head, x)| > 1 - threshold rules a link out. A group of
+    copies with few strangers thus costs its size times their number.
     """
-    reach = 2 * threshold - 1  # similarity to the head below which a text can't be linked to those linked to it
-    done, links, labels = None, None, None
-    groups = cut_lineage(groups)
-    while True:
-        counts = groups.groupBy("sketch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).filter(F.col("n") > 1)
-        counts = cut_lineage(counts)
-        total = counts.agg(F.sum("n")).first()[0]
-        if not total:
-            break
-        members = cut_lineage(salted_join(groups, counts.withColumn("size", F.col("n")), ["sketch"], "n", total, F.col("id")))
-        small = members.filter(F.col("size") <= SMALL_GROUP)
-        pairs = small.alias("x").join(small.alias("y"), (F.col("x.sketch") == F.col("y.sketch")) & (F.col("x.id") < F.col("y.id"))).select(
-            F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        large = members.filter(F.col("size") > SMALL_GROUP)
-        pairs = pairs.unionByName(large.filter(F.col("id") != F.col("head")).select(F.col("head").alias("a"), F.col("id").alias("b"))).distinct()
-
-        def without_known(p: DataFrame) -> DataFrame:
-            if labels is not None:  # pairs in one class already need no link
-                own = labels.select(F.col("id").alias("a"), F.col("class_id").alias("ca"))
-                p = p.join(own, "a", "left").join(own.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left")
-                p = p.filter(F.coalesce(F.col("ca") != F.col("cb"), F.lit(True))).select("a", "b")
-            return p if done is None else p.join(done, ["a", "b"], "left_anti")
-
-        def settle(p: DataFrame) -> None:
-            nonlocal done, links, labels
-            found = cut_lineage(verify(cut_lineage(without_known(p)), nodes, rows, reach))
-            done = found if done is None else done.unionByName(found)
-            links = done.filter(F.col("similarity") >= threshold)
-            labels = components(links)
-
-        settle(pairs)
-        if large.limit(1).count() == 0:
-            break
-        # similarity to the head, and whether the text is in its class by now
-        heads = large.join(labels.select(F.col("id"), F.col("class_id").alias("own")), "id", "left").join(
-            labels.select(F.col("id").alias("head"), F.col("class_id").alias("of_head")), "head", "left")
-        state = heads.withColumn("settled", F.coalesce(F.col("own") == F.col("of_head"), F.lit(False)) | (F.col("id") == F.col("head")))
-        state = cut_lineage(state.join(done.select(F.col("a").alias("head"), F.col("b").alias("id"), "similarity"), ["head", "id"], "left"))
-        open_, closed = state.filter(~F.col("settled")), state.filter(F.col("settled") & (F.col("id") != F.col("head")))
-        border = open_.filter(F.col("similarity") > 0).alias("u").join(
-            closed.filter(F.col("similarity") > 0).alias("x"),
-            (F.col("u.sketch") == F.col("x.sketch")) & (F.col("u.similarity") >= F.col("x.similarity") - (1 - threshold)))
-        border = cut_lineage(border.select(F.least("u.id", "x.id").alias("a"), F.greatest("u.id", "x.id").alias("b")).distinct())
-        if border.limit(1).count():
-            settle(border)
-        groups = cut_lineage(open_.select("sketch", "id"))
-    return links
+    reach = 2 * threshold - 1  # similarities to the head are computed down to here
+    sizes = groups.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    sizes = cut_lineage(sizes)
+    total = sizes.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    rows_of = cut_lineage(salted_join(groups, sizes.withColumn("n_rows", F.col("n")), ["sketch"], "n_rows", total, F.col("id")))
+    popular = rows_of.groupBy("id").agg(F.sum("n").alias("popularity"))
+    ranked = cut_lineage(rows_of.join(popular, "id"))
+    best = F.max_by("id", F.struct("popularity", -F.col("id")))
+    heads = cut_lineage(ranked.groupBy("sketch").agg(F.count(F.lit(1)).alias("n"), best.alias("head")))
+    members = cut_lineage(salted_join(ranked.select("sketch", "id", "size"), heads, ["sketch"], "n", total, F.col("id")))
+    bits = nodes.select("id", *BIT_COLUMNS)
+    stars = cut_lineage(_sharing(members.filter(F.col("id") != F.col("head")).select(F.col("head").alias("a"), F.col("id").alias("b"))))
+    near = (stars.join(bits.withColumnRenamed("id", "a").alias("u"), "a").join(bits.withColumnRenamed("id", "b").alias("x"), "b")
+            .select("a", "b", _alike("u", "x", reach).alias("alike")))
+    near = cut_lineage(near)
+    found = verify(near.filter("alike").select("a", "b"), nodes, rows, reach)
+    found = cut_lineage(found.unionByName(near.filter("NOT alike").select("a", "b", F.lit(0.0).alias("similarity"))))
+    labels = components(found.filter(F.col("similarity") >= threshold))
+
+    own, of_head = labels.select("id", F.col("class_id").alias("own")), labels.select(F.col("id").alias("head"), F.col("class_id").alias("of_head"))
+    state = (members.join(own, "id", "left").join(of_head, "head", "left")
+             .join(found.select(F.col("a").alias("head"), F.col("b").alias("id"), "similarity"), ["head", "id"], "left"))
+    is_head = F.col("id") == F.col("head")
+    far = 1 - reach + 1e-6
+    state = cut_lineage(state.select(
+        "sketch", "id", "size", F.coalesce("own", -1 - F.col("id")).alias("own"),
+        (is_head | F.coalesce(F.col("own") == F.col("of_head"), F.lit(False))).alias("settled"),
+        F.when(is_head, 0.0).when(F.col("similarity") > 0, 1 - F.col("similarity")).when(F.col("similarity") == 0, far).otherwise(0.0).alias("least"),
+        F.when(is_head, 0.0).when(F.col("similarity") > 0, 1 - F.col("similarity")).otherwise(1.0).alias("most")))
+    strangers = state.filter(~F.col("settled"))
+    if strangers.limit(1).count() == 0:
+        return labels
+    slack = 1 - threshold + 1e-9
+    full = nodes.select("id", "sketches", *BIT_COLUMNS)
+    busy = state.join(strangers.select("sketch").distinct(), "sketch", "left_semi").join(full, "id")
+    u, x = busy.filter(~F.col("settled")).alias("u"), busy.alias("x")
+    shared = F.array_intersect("u.sketches", "x.sketches")
+    others = u.join(x, (
+        (F.col("u.sketch") == F.col("x.sketch")) & (F.col("u.own") != F.col("x.own")) & (F.col("x.settled") | (F.col("u.id") < F.col("x.id")))
+        & (F.least("u.size", "x.size") >= threshold * F.greatest("u.size", "x.size") - 1e-9)
+        & (F.col("u.least") - F.col("x.most") <= slack) & (F.col("x.least") - F.col("u.most") <= slack)
+        & _alike("u", "x", threshold)
+        # in one of the groups that have both
+        & (F.size(shared) >= SHARED) & (F.array_min(shared) == F.col("u.sketch"))))
+    pairs = others.select(F.least("u.id", "x.id").alias("a"), F.greatest("u.id", "x.id").alias("b"))
+    known = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut_lineage(pairs.join(known, ["a", "b"], "left_anti"))
+    more = cut_lineage(verify(pairs, nodes, rows, threshold).filter(F.col("similarity") >= threshold))
+    return components(found.filter(F.col("similarity") >= threshold).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -220,36 +272,63 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     class_id of their class all the same. Repeated rows stay repeated; other
     columns are left out.
     """
-    text = named(text_column)
-    own = docs.select(named(id_column).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    own = own.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("t1"),
-                     F.xxhash64(F.lit(7), F.reverse("text"), F.length("text")).alias("t2"), "text")
-    sketched = cut_lineage(own.mapInArrow(_sketch, "doc_id long, t1 long, t2 long, sketches array<long>"))
+    out = _classes(docs, id_column, text_column, threshold)
+    return out.select(F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id"),
+                      F.when(F.col("class_id") < LAST, F.col("class_id")).alias("class_id"), "copies")
+
+
+def _keys(id_column: str, text_column: str) -> dict[str, Column]:
+    """Id, NULL as the last one, and two hashes of the text, by which a row is found again."""
+    text = F.coalesce(named(text_column), F.lit(""))
+    return {"doc_id": F.coalesce(named(id_column).cast("long"), F.lit(LAST)), "t1": F.xxhash64(text),
+            "t2": F.xxhash64(F.lit(7), text, F.length(text))}
+
+
+def _classes(docs: DataFrame, id_column: str, text_column: str, threshold: float) -> DataFrame:
+    """doc_id, t1, t2, class_id, copies of each row."""
+    own = docs.select(*[c.alias(n) for n, c in _keys(id_column, text_column).items()],
+                      F.coalesce(named(text_column), F.lit("")).alias("text"))
+    sketched = cut_lineage(own.mapInArrow(_sketch, "doc_id long, t1 long, t2 long, size int, sketches array<long>, b0 long, b1 long, b2 long, b3 long"))
     # one node for each different text, numbered when this table is written
     nodes = sketched.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"),
-                                             F.first("sketches").alias("sketches"))
+                                             F.first("size").alias("size"), F.first("sketches").alias("sketches"),
+                                             *[F.first(c).alias(c) for c in BIT_COLUMNS])
     nodes = cut_lineage(nodes.withColumn("id", F.monotonically_increasing_id()))
-    links = _compare_groups(nodes.select(F.explode("sketches").alias("sketch"), "id").distinct(),
-                            nodes.select("id", "doc_id", "t1", "t2"), own, threshold)
+    labels = _compare_groups(nodes.select(F.explode(F.array_distinct("sketches")).alias("sketch"), "id", "size"),
+                             nodes.select("id", "doc_id", "t1", "t2", "sketches", *BIT_COLUMNS), own, threshold)
     classes = nodes.select("id", "t1", "t2", "doc_id", "copies").withColumnRenamed("doc_id", "first_doc")
-    if links is None:
+    if labels is None:
         classes = classes.withColumnRenamed("first_doc", "class_id")
     else:
-        linked = cut_lineage(components(links).withColumnRenamed("class_id", "component").join(classes.select("id", "first_doc"), "id"))
+        linked = cut_lineage(labels.withColumnRenamed("class_id", "component").join(classes.select("id", "first_doc"), "id"))
         smallest = linked.groupBy("component").agg(F.min("first_doc").alias("class_id"))
         sizes = linked.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
         named_ = salted_join(linked, smallest.join(sizes, "component"), ["component"], "n", linked.count(), F.col("id"))
         classes = classes.join(named_.select("id", "class_id"), "id", "left").withColumn("class_id", F.coalesce("class_id", "first_doc"))
     out = salted_join(sketched.select("doc_id", "t1", "t2"), classes.select("t1", "t2", "class_id", "copies", F.col("copies").alias("n")),
                       ["t1", "t2"], "n", sketched.count(), F.col("doc_id"))
-    return out.select(F.when(F.col("doc_id") < 2**63 - 1, F.col("doc_id")).alias("doc_id"),
-                      F.when(F.col("class_id") < 2**63 - 1, F.col("class_id")).alias("class_id"), "copies")
+    return out
 
 
-def first_of_classes(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """One document of each class, with all its columns: that of the smallest id; of rows equal in id and text, one."""
-    classes = near_duplicates(docs, id_column, text_column)
-    heads = cut_lineage(classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_head")).distinct())
-    key = F.coalesce(named(id_column).cast("long"), F.lit(2**63 - 1))
-    return docs.withColumn("_head", key).join(heads, "_head", "left_semi").drop("_head").dropDuplicates([id_column])
+def first_of_classes(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id",
+                     threshold: float = THRESHOLD) -> DataFrame:
+    """One document of each class, with all its columns: that of the smallest id; of rows equal in id and text, one.
+
+    Only rows that come several times are shuffled whole.
+    """
+    classes = cut_lineage(_classes(docs, id_column, text_column, threshold))
+    per_text = classes.groupBy("doc_id", "t1", "t2", "class_id").agg(F.count(F.lit(1)).alias("n"))
+    # texts of one class may share the smallest id
+    first = (per_text.filter(F.col("doc_id") == F.col("class_id")).groupBy("class_id")
+             .agg(F.min(F.struct("t1", "t2")).alias("first")))
+    is_first = (F.col("doc_id") == F.col("class_id")) & (F.struct("t1", "t2") == F.col("first"))
+    names = {"doc_id": "_head_id", "t1": "_head_t1", "t2": "_head_t2"}
+    # all but the first rows of the classes, and the first ones that come several times
+    listed = per_text.join(first, "class_id").filter(~is_first | (F.col("n") > 1)).select(
+        *[F.col(c).alias(n) for c, n in names.items()], is_first.alias("_several"))
+    listed = cut_lineage(listed)
+    keyed = docs.withColumns({names[n]: c for n, c in _keys(id_column, text_column).items()})
+    on = list(names.values())
+    single = join_small(keyed, listed.select(*on), on, "left_anti")
+    several = join_small(keyed, listed.filter("_several").select(*on), on, "left_semi").dropDuplicates(on)
+    return single.unionByName(several).drop(*on)
