@@ -23,6 +23,7 @@ WINDOW = 256
 HIDDEN = 8
 #: Labelled texts of each language taken for training, and bytes of each; the documented bound of the sample.
 TRAIN_TEXTS, TRAIN_BYTES = 300, 1024
+OVERDRAW = 2
 STEPS, BATCH, SPAN, RATE = 260, 128, 48, 0.02
 #: Windows that run through the network together.
 LANES = 4096
@@ -203,18 +204,23 @@ def held_out(id_column: str = "doc_id"):
 def training_sample(docs: DataFrame, id_column: str, text_column: str, lang_column: str) -> tuple[list[bytes], list[str]]:
     """At most ``TRAIN_TEXTS`` texts of each language, of ``TRAIN_BYTES`` bytes each.
 
-    The texts with the smallest hashes; each task keeps that many for each
-    language before the shuffle.
+    They are those whose ids have the smallest hashes. The languages are
+    counted first; then about ``OVERDRAW`` times as many texts as wanted are
+    drawn by a bound on the hash, whatever the number of tasks.
     """
-    text = named(text_column)
+    text = F.substring(named(text_column), 1, TRAIN_BYTES)
     rows = docs.filter(~held_out(id_column) & named(lang_column).isNotNull() & text.rlike(r"\p{L}")).select(
-        named(lang_column).alias("lang"), F.xxhash64(text, named(id_column)).alias("rank"), F.substring(text, 1, TRAIN_BYTES).alias("text"))
-    languages = [r[0] for r in rows.select("lang").distinct().collect()]
-    texts, labels = [], []
-    for lang in sorted(languages):
-        some = rows.filter(F.col("lang") == lang).orderBy("rank").limit(TRAIN_TEXTS).select("text").collect()
-        texts += [r[0].encode()[:TRAIN_BYTES] for r in some]
-        labels += [lang] * len(some)
+        named(lang_column).alias("lang"), F.xxhash64(F.lit(5), named(id_column)).alias("rank"), text.alias("text"))
+    drawn = F.lit(False)
+    for lang, n in rows.groupBy("lang").count().collect():
+        share = min(1.0, OVERDRAW * TRAIN_TEXTS / n)
+        drawn = drawn | ((F.col("lang") == lang) & (F.col("rank") <= min(int(share * 2**64) - 2**63, 2**63 - 1)))
+    texts, labels, taken = [], [], {}
+    for r in sorted(rows.filter(drawn).collect(), key=lambda r: (r["lang"], r["rank"], r["text"])):
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] <= TRAIN_TEXTS:
+            texts.append(r["text"].encode()[:TRAIN_BYTES])
+            labels.append(r["lang"])
     return texts, labels
 
 
