@@ -14,8 +14,11 @@ a range is one bucket, sorted locally by multikey quicksort: by the first
 eight bytes, ties by a fingerprint of the leading token, ties by a fingerprint
 of the context, then by place. In a bucket, a suffix that follows one with its
 context repeats it in full. A suffix whose leading token comes with several
-contexts is left open, and so are those at the edges of a bucket, whose
-neighbours are in other buckets.
+contexts may share some of its strings with one of them: those that begin
+``SIDE`` bytes before the token or earlier only if the bytes on the left agree
+too, the others only if those on the right do. What agrees is left open, and so
+is all of a suffix at the edges of a bucket, whose neighbours are in other
+buckets.
 
 *Comparison.* The strings of open suffixes are compared one by one, by 128-bit
 fingerprints, over all buckets.
@@ -42,6 +45,8 @@ from deltascope.session import cut_lineage
 LENGTH = 100
 TOKEN = 32
 CHOICES = LENGTH - TOKEN + 1
+#: A string that begins SIDE bytes before the token or earlier has all of these bytes; any other has as many after it.
+SIDE = CHOICES // 2
 #: Bytes of text handled together in a task, and bits for a place in them.
 SLICE_BYTES = 1 << 21
 PLACE_BITS = np.uint64(22)
@@ -52,7 +57,7 @@ SAMPLE_DOCS = 2000
 ID_GROUPS = 1 << 17
 
 PRIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-ROW = "bucket int, t1 long, t2 long, context long, doc long, start int, more int"
+ROW = "bucket int, t1 long, t2 int, context long, left int, right int, doc long, start int, more int, place int"
 
 
 def _inverse(p: np.uint64) -> np.uint64:
@@ -110,15 +115,17 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def suffixes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text number, start, more, t1, t2, context) of the chosen suffixes of a slice.
+    """(text number, start, more, t1, t2, context, left, right, place) of the chosen suffixes of a slice.
 
     A suffix speaks for the strings at ``start`` to ``start + more``, counted
-    from the text's first byte.
+    from the text's first byte, and begins ``place`` bytes after ``start``.
+    ``left`` and ``right`` are fingerprints of its token with ``SIDE`` bytes
+    before or after it.
     """
     n = len(data)
     empty = np.zeros(0, dtype=np.int64)
     if n < LENGTH:
-        return (empty,) * 6
+        return (empty,) * 9
     one = Prefixes(data, 0)
     at = np.arange(n - TOKEN + 1)
     leading = one.of(at, at + TOKEN)
@@ -140,7 +147,7 @@ def suffixes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     new = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | ~inside[:-1]])
     first = np.flatnonzero(inside & new)
     if not len(first):
-        return (empty,) * 6
+        return (empty,) * 9
     stop = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
     token = chosen[first]
     t1 = np.zeros(len(token), dtype=np.uint64)
@@ -149,7 +156,9 @@ def suffixes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     two = Prefixes(data, 1)
     context = mix(two.of(first, stop + LENGTH) ^ ((token - first).astype(np.uint64) << np.uint64(40)))
     owner = np.searchsorted(bounds, first, side="right") - 1
-    return owner, first - bounds[owner], stop - first, t1, leading[token], context
+    left = one.of(np.maximum(token - SIDE, bounds[owner]), token + TOKEN) >> np.uint64(32)
+    right = one.of(token, np.minimum(token + TOKEN + SIDE, bounds[owner + 1])) >> np.uint64(32)
+    return owner, first - bounds[owner], stop - first, t1, leading[token] >> np.uint64(32), context, left, right, token - first
 
 
 def _slices(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -183,10 +192,15 @@ def _pieces(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield owner, start + a, *more
 
 
-def _columns(bucket, t1, t2, context, doc, start, more) -> pa.RecordBatch:
+def _columns(bucket, t1, t2, context, left, right, doc, start, more, place) -> pa.RecordBatch:
+    def long_(x):
+        return pa.array(np.asarray(x).astype(np.uint64).view(np.int64))
+
+    def int_(x):
+        return pa.array(np.asarray(x).astype(np.int64).astype(np.uint32).view(np.int32))
+
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(bucket, dtype=np.int32)), *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (t1, t2, context)],
-         pa.array(doc), pa.array(np.asarray(start, dtype=np.int32)), pa.array(np.asarray(more, dtype=np.int32))],
+        [int_(bucket), long_(t1), int_(t2), long_(context), int_(left), int_(right), pa.array(doc), int_(start), int_(more), int_(place)],
         names=[c.split()[0] for c in ROW.split(", ")])
 
 
@@ -203,6 +217,11 @@ def _repeats(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tupl
     return order, equal, later
 
 
+def leading_order(t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
+    """Order of the leading tokens: five bytes, then the token's fingerprint."""
+    return (t1.astype(np.uint64) & ~np.uint64((1 << 24) - 1)) | (t2.astype(np.uint64) >> np.uint64(8))
+
+
 def _send(splitters: np.ndarray):
     """Suffixes of the documents with their buckets; repeats within a slice go on as spans (``more`` = -length)."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,35 +229,37 @@ def _send(splitters: np.ndarray):
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, bounds in _slices(batch, 1):
                 parts = list(_pieces(data, bounds))
-                owner, start, more, t1, t2, context = (np.concatenate(x) for x in zip(*parts))
+                owner, start, more, t1, t2, context, left, right, place = (np.concatenate(x) for x in zip(*parts))
                 doc = docs[a:b][owner]
-                order, equal, later = _repeats([t1.astype(np.uint64), t2.astype(np.uint64), context.astype(np.uint64)], doc, start)
+                order, equal, later = _repeats([t1, t2, context], doc, start)
                 gone = order[later]
                 spans = merged(doc[gone], start[gone], start[gone] + more[gone] + LENGTH)
                 keep = order[~equal]
-                # order of the leading tokens: five bytes, then the fingerprint of the token
-                place = (t1[keep].astype(np.uint64) & ~np.uint64((1 << 24) - 1)) | (t2[keep].astype(np.uint64) >> np.uint64(40))
-                bucket = np.searchsorted(splitters, place, side="right")
+                bucket = np.searchsorted(splitters, leading_order(t1[keep], t2[keep]), side="right")
                 if len(keep):
-                    yield _columns(bucket, t1[keep].astype(np.uint64), t2[keep].astype(np.uint64), context[keep].astype(np.uint64),
-                                   doc[keep], start[keep], more[keep])
+                    yield _columns(bucket, t1[keep], t2[keep], context[keep], left[keep], right[keep], doc[keep], start[keep],
+                                   more[keep], place[keep])
                 if len(spans[0]):
                     zero = np.zeros(len(spans[0]), dtype=np.int64)
-                    yield _columns(spans[0] % (len(splitters) + 1), zero, zero, zero, spans[0], spans[1], spans[1] - spans[2])
+                    yield _columns(spans[0] % (len(splitters) + 1), zero, zero, zero, zero, zero, spans[0], spans[1],
+                                   spans[1] - spans[2], zero)
     return send
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: spans (kind 0) and open suffixes (kind 1) as (kind, doc, start, end)."""
-    table = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
+    """One bucket: spans (kind 0) and strings left open (kind 1, from start to end) as (kind, doc, start, end)."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
         return
-    cols = [table.column(i).to_numpy() for i in range(7)]
-    passed = cols[6] < 0
-    spans = [(cols[4][passed], cols[5][passed].astype(np.int64), cols[5][passed].astype(np.int64) - cols[6][passed])]
+    table = pa.Table.from_batches(parts)
+    cols = {name: table.column(name).to_numpy() for name in table.column_names}
+    passed = cols["more"] < 0
+    spans = [(cols["doc"][passed], cols["start"][passed].astype(np.int64), cols["start"][passed].astype(np.int64) - cols["more"][passed])]
     live = ~passed
-    t1, t2, context = (np.ascontiguousarray(c[live]).view(np.uint64) for c in cols[1:4])
-    doc, start, more = cols[4][live], cols[5][live].astype(np.int64), cols[6][live].astype(np.int64)
+    t1, context = (np.ascontiguousarray(cols[c][live]).view(np.uint64) for c in ("t1", "context"))
+    t2, left, right = (cols[c][live] for c in ("t2", "left", "right"))
+    doc = cols["doc"][live]
+    start, more, place = (cols[c][live].astype(np.int64) for c in ("start", "more", "place"))
     order, equal, later = _repeats([t1, t2, context], doc, start)
     gone = order[later]
     spans.append((doc[gone], start[gone], start[gone] + more[gone] + LENGTH))
@@ -246,11 +267,33 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if len(lead):
         same = (t1[lead][1:] == t1[lead][:-1]) & (t2[lead][1:] == t2[lead][:-1])
         crowd = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        for edge in (lead[0], lead[-1]):
-            crowd |= (t1[lead] == t1[edge]) & (t2[lead] == t2[edge])
-        lead = lead[crowd]
+        edge = np.zeros(len(lead), dtype=bool)
+        for x in (lead[0], lead[-1]):
+            edge |= (t1[lead] == t1[x]) & (t2[lead] == t2[x])
+        lead, edge = lead[crowd | edge], edge[crowd | edge]
+    else:
+        edge = np.zeros(0, dtype=bool)
+
+    def agrees(side: np.ndarray) -> np.ndarray:
+        """Whether another suffix of the token has these bytes on that side."""
+        keys = [t1[lead], t2[lead], side[lead]]
+        at = multikey_order(keys)
+        same = np.ones(max(0, len(at) - 1), dtype=bool)
+        for k in keys:
+            same &= k[at][1:] == k[at][:-1]
+        out = np.zeros(len(at), dtype=bool)
+        out[at[1:][same]] = True
+        out[at[:-1][same]] = True
+        return out | edge
+
+    border = start[lead] + place[lead] - SIDE  # the last string with all bytes on the left
+    first, last = start[lead], start[lead] + more[lead]
+    by_left, by_right = agrees(left), agrees(right)
+    begin = np.where(by_left, first, np.maximum(first, border + 1))
+    end = np.where(by_right, last, np.minimum(last, border))
+    some = (by_left | by_right) & (begin <= end)
     found = merged(*(np.concatenate(x) for x in zip(*spans)))
-    for kind, (d, s, e) in ((0, found), (1, (doc[lead], start[lead], start[lead] + more[lead]))):
+    for kind, (d, s, e) in ((0, found), (1, (doc[lead][some], begin[some], end[some]))):
         if len(d):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), kind, dtype=np.int32)), pa.array(d), pa.array(s.astype(np.int32)),
                                               pa.array(e.astype(np.int32))], names=["kind", "doc", "start", "end"])
@@ -342,9 +385,8 @@ def splitters_of(docs: DataFrame, buckets: int) -> np.ndarray:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, bounds in _slices(batch, 1):
-                for _, _, _, t1, t2, _ in _pieces(data, bounds):
-                    t1, t2 = t1.astype(np.uint64), t2.astype(np.uint64)
-                    place = (t1 & ~np.uint64((1 << 24) - 1)) | (t2 >> np.uint64(40))
+                for _, _, _, t1, t2, *_ in _pieces(data, bounds):
+                    place = leading_order(t1, t2)
                     yield pa.RecordBatch.from_arrays([pa.array((place ^ np.uint64(1 << 63)).view(np.int64))], names=["place"])
 
     sample = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(step)) == 0).mapInArrow(places, "place long")
