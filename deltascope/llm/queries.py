@@ -115,7 +115,11 @@ rake AS (
   SELECT 0 AS k, {keys}, tokens, {targets}, tokens AS {step} FROM start
   UNION ALL
   SELECT k + 1, {keys}, tokens, {targets}, w FROM {inner} WHERE k < {sweeps}),
-p AS (SELECT {keys}, w / tokens / max(w / tokens) OVER () AS probability FROM rake WHERE k = {sweeps})
+r AS (SELECT {keys}, tokens, w, w / tokens AS ratio FROM rake WHERE k = {sweeps}),
+o AS (SELECT *, row_number() OVER (ORDER BY ratio DESC, {keys}) AS place, sum(tokens) OVER () AS all_tokens, sum(w) OVER () AS all_weight,
+  sum(tokens) OVER (ORDER BY ratio DESC, {keys}) - tokens AS taken, sum(w) OVER (ORDER BY ratio DESC, {keys}) - w AS gone FROM r),
+c AS (SELECT *, ({mixing.SHARE} * all_tokens - taken) / (all_weight - gone) AS factor FROM o),
+p AS (SELECT {keys}, least(1.0, ratio * (SELECT min_by(factor, place) FROM c WHERE factor * ratio < 1)) AS probability FROM r)
 SELECT f.doc_id, f.topic, f.tokens, round(coalesce(probability, 1.0), 6) AS probability,
        (('0x' || substr(md5('{seed}:' || f.doc_id), 1, 8))::BIGINT / 4294967296.0) < coalesce(probability, 1.0) AS sampled
 FROM f LEFT JOIN p ON {" AND ".join(f"f.{n} IS NOT DISTINCT FROM p.{n}" for n in names)}"""

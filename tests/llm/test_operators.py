@@ -212,7 +212,12 @@ def test_raked_sums_meet_the_targets(spark):
         assert sum(r["weight"] for r in out if r["source"] == s) == pytest.approx(total / 3, rel=1e-6)
     assert sum(r["weight"] for r in out if r["lang"] == "y") == pytest.approx(total * 3 / 4, rel=1e-6)
     live = [r for r in out if r["tokens"]]
-    assert max(r["probability"] for r in live) == pytest.approx(1)
+    assert sum(r["probability"] * r["tokens"] for r in live) == pytest.approx(mixing.SHARE * total)
+    free = [r["probability"] * r["tokens"] / r["weight"] for r in live if r["probability"] < 1]
+    assert max(free) == pytest.approx(min(free))
+    most = mixing.rake(cells, margins, 25, share=0.95).collect()
+    assert max(r["probability"] for r in most) == 1.0
+    assert sum(r["probability"] * r["tokens"] for r in most if r["tokens"]) == pytest.approx(0.95 * total)
     assert [r["probability"] for r in out if not r["tokens"]] == [1.0]
 
 
