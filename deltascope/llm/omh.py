@@ -14,6 +14,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,12 @@ THRESHOLD = 0.8
 SKETCHES, ORDERED, SHARED = 24, 3, 2
 #: Odd multipliers, each of which orders the shingles anew.
 ORDERS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, (SKETCHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: One bit of each of BITS least shingles (4 longs), by which pairs far below a similarity are passed over. Texts of
+#: One bit of each of BITS least shingles, by which pairs far below a similarity are passed over. Texts of
 #: similarity s agree on at least (1 + s) / 2 of the bits, but for chance; DEVIATIONS of it are granted, so a pair at the
 #: similarity is lost with probability 1e-5.
-BITS, DEVIATIONS = 256, 4.3
+BITS, DEVIATIONS = 1024, 4.3
 BIT_ORDERS = np.random.Generator(np.random.PCG64(78)).integers(1, 2**63, (BITS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BIT_COLUMNS = ["b0", "b1", "b2", "b3"]
+BIT_COLUMNS = [f"b{i}" for i in range(BITS // 64)]
 #: In place of a NULL id.
 LAST = 2**63 - 1
 
@@ -62,9 +63,9 @@ def order_sketches(values: np.ndarray) -> np.ndarray:
 
 
 def least_bits(values: np.ndarray) -> np.ndarray:
-    """One bit of the least shingle under each of many orders, packed into four numbers."""
+    """One bit of the least shingle under each of many orders, packed into 64-bit numbers."""
     if not len(values):
-        return np.zeros(4, dtype=np.int64)
+        return np.zeros(BITS // 64, dtype=np.int64)
     least = np.empty(BITS, dtype=np.uint64)
     for i in range(0, BITS, 64):  # some orders at a time: the products of a long text are large
         least[i:i + 64] = (values[None, :] * BIT_ORDERS[i:i + 64]).min(axis=1)
@@ -80,7 +81,7 @@ def enough_bits(similarity: float) -> int:
 def _alike(u: str, x: str, similarity: float) -> Column:
     """Whether the bits of two rows allow a similarity."""
     differ = [F.bit_count(F.col(f"{u}.{c}").bitwiseXOR(F.col(f"{x}.{c}"))) for c in BIT_COLUMNS]
-    return differ[0] + differ[1] + differ[2] + differ[3] <= BITS - enough_bits(similarity)
+    return reduce(Column.__add__, differ) <= BITS - enough_bits(similarity)
 
 
 def band_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -288,7 +289,7 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, threshold: float
     """doc_id, t1, t2, class_id, copies of each row."""
     own = docs.select(*[c.alias(n) for n, c in _keys(id_column, text_column).items()],
                       F.coalesce(named(text_column), F.lit("")).alias("text"))
-    sketched = cut_lineage(own.mapInArrow(_sketch, "doc_id long, t1 long, t2 long, size int, sketches array<long>, b0 long, b1 long, b2 long, b3 long"))
+    sketched = cut_lineage(own.mapInArrow(_sketch, "doc_id long, t1 long, t2 long, size int, sketches array<long>, " + ", ".join(f"{c} long" for c in BIT_COLUMNS)))
     # one node for each different text, numbered when this table is written
     nodes = sketched.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"),
                                              F.first("size").alias("size"), F.first("sketches").alias("sketches"),
