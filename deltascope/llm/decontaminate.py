@@ -11,7 +11,8 @@ the threshold. A screen adds up the impacts of the key words of each passage,
 for all passages at once; where these and all other words of an item together
 stay below the threshold, block-max WAND could have found no pivot. It runs
 over the whole passage for all that are left. A retrieved item is then verified: enough of the five-word shingles of its
-question, and of its answer, must be in the passage.
+question, and of its answer, must be in the passage, or nearly all of its words in their order; an item without an answer
+is verified as a whole.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ K1, B = 1.2, 0.75
 #: Share of an item's own score that retrieves it, and share of shingles that verifies it.
 RETRIEVE, OVERLAP = 0.6, 0.5
 SHINGLE = 5
+#: Share of a part's words that may be changed, left out or put in where too few shingles are left; one word of so many at least.
+EDITS, LEAST_EDITED = 0.2, 3
 #: Postings in a block of a list.
 BLOCK = 16
 #: Items in one index; more items take more passes over the texts, each with an index of bounded size.
@@ -41,25 +44,44 @@ LEAST_WINDOW = 64
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
-    """An item's question goes up to its last question mark; without one, its last quarter of words is the answer."""
+    """An item's question goes up to its last question mark; without one, or with nothing after it, the item is all question."""
     cut = text.rfind("?") + 1
     if 0 < cut < len(text.rstrip()):
         return text[:cut], text[cut:]
-    words = text.split()
-    n = max(1, len(words) // 4)
-    return " ".join(words[:-n]), " ".join(words[-n:])
+    return text, ""
 
 
 def grams(words: np.ndarray) -> np.ndarray:
     return np.unique(shingles(words, SHINGLE))
 
 
+def edits(part: np.ndarray, words: np.ndarray) -> int:
+    """Fewest words to change, leave out or put in that turn some run of ``words`` into ``part``."""
+    at = np.arange(len(words) + 1)
+    row = np.zeros(len(words) + 1, dtype=np.int64)  # by the end of the run; it may begin anywhere
+    for i, word in enumerate(part):
+        new = row + 1
+        np.minimum(new[1:], row[:-1] + (words != word), out=new[1:])
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
+
+
 def overlap(part: np.ndarray, words: np.ndarray) -> float:
-    """Share of the shingles of ``part`` that ``words`` has; 1 for an empty part."""
+    """Share of the shingles of ``part`` that ``words`` has; 1 for an empty part.
+
+    One changed word takes up to five shingles with it. So where less than
+    ``OVERLAP`` of them are left, it is the share of words left in place by
+    the best alignment, if no more than ``EDITS`` of them are edited.
+    """
     if not len(part):
         return 1.0
     k = min(SHINGLE, len(part))
-    return float(np.isin(np.unique(shingles(part, k)), shingles(words, k)).mean()) if len(words) >= k else 0.0
+    share = float(np.isin(np.unique(shingles(part, k)), shingles(words, k)).mean()) if len(words) >= k else 0.0
+    most = max(int(EDITS * len(part)), int(len(part) >= LEAST_EDITED))
+    if share >= OVERLAP or np.count_nonzero(~np.isin(part, words)) > most:
+        return share
+    n = edits(part, words)
+    return max(share, 1 - n / len(part)) if n <= most else share
 
 
 @dataclass
@@ -264,7 +286,7 @@ def indexes(items: DataFrame, id_column: str = "item_id", text_column: str = "te
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Verified pairs: doc_id, item_id, score, question_overlap, answer_overlap.
+    """Verified pairs: doc_id, item_id, score, question_overlap, answer_overlap; the last is 1 for an item without an answer.
 
     Texts and items that are NULL, empty or without words pair with nothing;
     NULL ids are kept as they are; repeated documents and repeated items give

@@ -199,6 +199,37 @@ def test_items_in_many_indexes(spark, sf, monkeypatch):
     assert {(r[0], r[1]) for r in one} == {(r[0], r[1]) for r in many}
 
 
+def test_edits_equal_the_full_table():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        part, words = (rng.integers(0, 5, rng.integers(1, 12)).astype(np.uint64) for _ in range(2))
+        row = [0] * (len(words) + 1)
+        for i, p in enumerate(part, 1):
+            new = [i]
+            for j, w in enumerate(words, 1):
+                new.append(min(row[j - 1] + (p != w), row[j] + 1, new[-1] + 1))
+            row = new
+        assert decontaminate.edits(part, words) == min(row)
+
+
+def test_edited_passages_are_found():
+    """Items without an answer are verified whole; a changed word, in short parts too, hides nothing."""
+    whole = " ".join(f"w{i}" for i in range(38))
+    items = [(1, whole), (2, "what is the capital city of france ? it is lovely paris"), (3, "one two three four five six seven")]
+    frequency = Counter(x for _, t in items for x in set(hashing.word_hashes([t])[0].tolist()))
+    index = decontaminate.build_index(items, frequency, 3, 20.0, 80)
+    found = lambda text: {h[1] for h in decontaminate.search(index, ["some text before " + text + " and some after"])}
+    for item, text in items:
+        words = text.split()
+        for i in range(len(words)):
+            assert item in found(" ".join([*words[:i], "zzz", *words[i + 1:]])), (item, i)
+            assert item in found(" ".join([*words[:i], "zzz", *words[i:]])), (item, i)
+    assert found(" ".join(whole.split()[:29])) == {1}
+    assert found(" ".join("zzz" if i % 6 == 5 else w for i, w in enumerate(whole.split()))) == {1}
+    assert found(" ".join(reversed(whole.split()))) == set()
+    assert found("what is the capital city of france ? nobody knows") == set()
+
+
 # 5 mixing
 
 def test_raked_sums_meet_the_targets(spark):
