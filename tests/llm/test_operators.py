@@ -252,6 +252,19 @@ def test_raked_sums_meet_the_targets(spark):
     assert [r["probability"] for r in out if not r["tokens"]] == [1.0]
 
 
+def test_sampled_tokens_meet_the_targets(spark):
+    """A cell taken whole is made up for by its own margins; a value short of tokens is taken whole."""
+    rows = [("a", "x", 10), ("a", "y", 1000), ("b", "x", 500), ("b", "y", 400), ("c", "x", 60), ("c", "y", 30)]
+    cells = spark.createDataFrame(rows, "source string, lang string, tokens long")
+    margins = (mixing.Margin("source", shares=(("a", 0.4), ("b", 0.4), ("c", 0.2))), mixing.Margin("lang", shares=(("x", 1.0), ("y", 2.0))))
+    got = Counter()
+    for r in mixing.rake(cells, margins).collect():
+        for name in ("source", "lang"):
+            got[r[name]] += r["probability"] * r["tokens"]
+        assert r["source"] != "c" or r["probability"] == pytest.approx(1.0, abs=1e-6)
+    assert got == pytest.approx({"a": 455, "b": 455, "c": 90, "x": 1000 / 3, "y": 2000 / 3}, rel=1e-5)
+
+
 # 6 chat
 
 def test_round_trip_of_hostile_turns(spark):
