@@ -14,15 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltascope.llm.common import named
 
 WINDOW = 256
 HIDDEN = 8
-#: Labelled texts of each language taken for training, and bytes of each; the documented bound of the sample.
-TRAIN_TEXTS, TRAIN_BYTES = 300, 1024
+#: Labelled texts of each language taken for training, and characters of each; the documented bound of the sample.
+TRAIN_TEXTS, TRAIN_CHARS = 300, 1024
+#: Spans into which the characters are dealt in a longer text.
+TRAIN_SPANS = 4
 OVERDRAW = 2
 STEPS, BATCH, SPAN, RATE = 260, 128, 48, 0.02
 #: Windows that run through the network together.
@@ -202,25 +204,35 @@ def held_out(id_column: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame, id_column: str, text_column: str, lang_column: str) -> tuple[list[bytes], list[str]]:
-    """At most ``TRAIN_TEXTS`` texts of each language, of ``TRAIN_BYTES`` bytes each.
+    """Spans of at most ``TRAIN_TEXTS`` texts of each language, ``TRAIN_CHARS`` characters each.
 
-    They are those whose ids have the smallest hashes. The languages are
+    They are those whose ids have the smallest hashes. A longer text gives
+    ``TRAIN_SPANS`` spans, one from each equal part of it, whose starts are
+    drawn by a hash of the id, so that a common beginning is not all of it. The languages are
     counted first; then about ``OVERDRAW`` times as many texts as wanted are
     drawn by a bound on the hash, whatever the number of tasks.
     """
-    text = F.substring(named(text_column), 1, TRAIN_BYTES)
+    text, width = named(text_column), TRAIN_CHARS // TRAIN_SPANS
+    room = F.length(text) - width  # last start, from 0
+
+    def span(i: int) -> Column:
+        draw = F.pmod(F.xxhash64(F.lit(11 + i), named(id_column)), F.lit(2**30)) / F.lit(2.0**30)
+        return F.substring(text, F.floor((F.lit(i) + draw) * (room + 1) / TRAIN_SPANS).cast("int") + 1, F.lit(width))
+
+    spans = F.when(F.length(text) <= TRAIN_CHARS, F.array(text)).otherwise(F.array(*[span(i) for i in range(TRAIN_SPANS)]))
     rows = docs.filter(~held_out(id_column) & named(lang_column).isNotNull() & text.rlike(r"\p{L}")).select(
-        named(lang_column).alias("lang"), F.xxhash64(F.lit(5), named(id_column)).alias("rank"), text.alias("text"))
+        named(lang_column).alias("lang"), F.xxhash64(F.lit(5), named(id_column)).alias("rank"), spans.alias("spans"))
     drawn = F.lit(False)
     for lang, n in rows.groupBy("lang").count().collect():
         share = min(1.0, OVERDRAW * TRAIN_TEXTS / n)
         drawn = drawn | ((F.col("lang") == lang) & (F.col("rank") <= min(int(share * 2**64) - 2**63, 2**63 - 1)))
     texts, labels, taken = [], [], {}
-    for r in sorted(rows.filter(drawn).collect(), key=lambda r: (r["lang"], r["rank"], r["text"])):
+    for r in sorted(rows.filter(drawn).collect(), key=lambda r: (r["lang"], r["rank"], r["spans"])):
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
         if taken[r["lang"]] <= TRAIN_TEXTS:
-            texts.append(r["text"].encode()[:TRAIN_BYTES])
-            labels.append(r["lang"])
+            for part in r["spans"]:
+                texts.append(part.encode())
+                labels.append(r["lang"])
     return texts, labels
 
 

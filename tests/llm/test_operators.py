@@ -335,6 +335,13 @@ def test_language_of_odd_rows(odd_docs):
     assert {r["lang_pred"] for r in nothing} == {"und"}
 
 
+def test_training_reads_beyond_a_common_beginning(spark):
+    rows = [(i, "HEADER " * 300 + f"body{i} " * 3000, "xx") for i in range(40)] + [(90 + i, "1 " * 1500 + "letters " * 3000, "yy") for i in range(9)]
+    texts, labels = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert set(labels) == {"xx", "yy"} and max(map(len, texts)) <= langid.TRAIN_CHARS
+    assert sum(b"body" in t for t in texts) > len(texts) / 3 and any(b"letters" in t for t in texts)
+
+
 # 8 near-duplicates
 
 def lcs(a, b):
