@@ -95,10 +95,11 @@ def train(texts: list[bytes], labels: list[int], languages: list[str], seed: int
     usable = [i for i, t in enumerate(texts) if t]
     by_label = [[i for i in usable if labels[i] == j] for j in range(k)]
     by_label = [x for x in by_label if x]
-    for step in range(1, STEPS + 1 if by_label else 1):
+    steps = STEPS * -(-len(by_label) // BATCH)
+    for step in range(1, steps + 1):
         x, y = np.full((SPAN, BATCH), 32, dtype=np.uint8), np.empty(BATCH, dtype=np.int64)
         for b in range(BATCH):
-            group = by_label[b % len(by_label)]
+            group = by_label[((step - 1) * BATCH + b) % len(by_label)]  # all labels in turn, however many
             i = group[int(rng.integers(len(group)))]
             at = int(rng.integers(max(1, len(texts[i]) - SPAN + 1)))
             piece = np.frombuffer(texts[i][at:at + SPAN], dtype=np.uint8)
@@ -116,7 +117,7 @@ def train(texts: list[bytes], labels: list[int], languages: list[str], seed: int
         grads = [*_direction_back(x, weights[1], kept_a, d_both[:, :, :n]),
                  *_direction_back(x[::-1], weights[4], kept_b, d_both[::-1, :, n:]),
                  np.tensordot(both, p, axes=([0, 1], [0, 1])), p.sum(axis=(0, 1))]
-        rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
+        rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         for w, g, m, v in zip(weights, grads, first, second):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)

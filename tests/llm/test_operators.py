@@ -342,6 +342,15 @@ def test_training_reads_beyond_a_common_beginning(spark):
     assert sum(b"body" in t for t in texts) > len(texts) / 3 and any(b"letters" in t for t in texts)
 
 
+def test_all_of_many_labels_are_drawn(monkeypatch):
+    """With more labels than a step has texts, the last ones are learned like the first."""
+    monkeypatch.setattr(langid, "STEPS", 40)
+    monkeypatch.setattr(langid, "BATCH", 2)
+    texts = [x.encode() * 100 for x in "abcde"]
+    net = langid.train(texts, list(range(5)), list("abcde"))
+    assert langid.predict(net, texts).argmax(axis=1).tolist() == list(range(5))
+
+
 # 8 near-duplicates
 
 def lcs(a, b):
