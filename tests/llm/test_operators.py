@@ -73,6 +73,16 @@ def test_line_hashing_odd(odd_docs):
     assert out[2][0]["text"] == ""
 
 
+def test_short_and_unspaced_repeats_go(spark):
+    sentence = "这是一个重复出现的很长的句子。"
+    rows = [(1, "Main menu\nFirst own text\n开头" + "。" + sentence + "\nHe said yes. Ends here"),
+            (2, "Other own text\n - Main  menu\nMain  menu\n另外。" + sentence + "其他\nHe said yes. Then more\n总是重复的行"), (3, "New\n总是重复的行\n")]
+    out = {r["doc_id"]: r for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1]["text"] == rows[0][1]
+    assert out[2]["text"] == "Other own text\n - Main  menu\n另外。其他\nHe said yes. Then more\n总是重复的行"
+    assert out[3]["text"] == "New\n" and out[3]["removed_units"] == 1
+
+
 # 2 quality rules
 
 def test_cascade_order_changes_no_verdict(spark, sf):
