@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltascope.llm import chat, decontaminate, langid, mixing, omh, quality, records, sharding, substring, suffix
+from deltascope.llm import chat, decontaminate, langid, mixing, omh, quality, records, shallot, sharding, substring, suffix
 from deltascope.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,33 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @register("op9_binary_records")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.export(table(spark, sf_dir, "documents"), tokenizer_path()).drop("record")
+
+
+def kmeans_sql(k: int = 40, rounds: int = 5, dim: int = 64, seed: int = 2) -> str:
+    """Each round compares all vectors with all centroids."""
+    first = f"""
+v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = {dim}),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1)::INT AS j, v AS c FROM v
+       ORDER BY sha256('{seed}:' || vec_id), v LIMIT {k})"""
+    parts = [first]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (SELECT vec_id, v, min(struct_pack(d := d, j := j)) AS best FROM (
+       SELECT vec_id, v, j, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+       FROM v, c{i}) GROUP BY vec_id, v)""")
+        if i < rounds:
+            parts.append(f"""
+s{i} AS (SELECT j, list(m ORDER BY p) AS c FROM (
+       SELECT j, p, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m
+       FROM (SELECT best.j AS j, unnest(v) AS x, unnest(range({dim})) AS p FROM a{i}) GROUP BY j, p) GROUP BY j),
+c{i + 1} AS MATERIALIZED (SELECT j, coalesce(s{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN s{i} USING (j))""")
+    return "WITH" + ",".join(parts) + f"""
+SELECT vec_id, best.j AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.j)::BIGINT AS cluster_inertia,
+       sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON best.j = j"""
+
+
+@register("op11_shallot_kmeans", kmeans_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.cluster(table(spark, sf_dir, "embeddings"))
