@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltascope.llm import chat, decontaminate, langid, mixing, omh, quality, records, shallot, sharding, substring, suffix
+from deltascope.llm import chat, decontaminate, langid, mixing, negatives, omh, quality, records, shallot, sharding, substring, suffix
 from deltascope.llm.common import table
+from deltascope.llm.vectors import all_finite, scaled
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -206,3 +207,27 @@ FROM a{rounds} JOIN c{rounds} ON best.j = j"""
 @register("op11_shallot_kmeans", kmeans_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shallot.cluster(table(spark, sf_dir, "embeddings"))
+
+
+NEGATIVES_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = len(embedding)),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, e.vec_id AS id, a.label = e.label AS same,
+       coalesce(list_sum(list_transform(list_zip(a.v, e.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+      FROM e a JOIN e ON a.vec_id % 50 = 0 AND a.vec_id <> e.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER w)::INT AS rank, s.id AS negative_id,
+       p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 3"""
+
+
+@register("op13_gnat_negatives", NEGATIVES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "embeddings").filter(all_finite(F.col("embedding")) & F.col("label").isNotNull())
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = found.select("vec_id", noisy.alias("label"), scaled(F.col("embedding")).alias("vector"))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)

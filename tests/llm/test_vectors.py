@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deltascope.llm import shallot
+from deltascope.llm import gnat, negatives, shallot, vectors
 
 VECTOR_ROWS = "vec_id long, embedding array<double>, label int"
 
@@ -86,3 +86,67 @@ def test_bounds_leave_the_nearest_centroid_unchanged():
         assert (near == d.argmin(1)).all() and (near != other).all()
         new = at + rng.integers(-30, 30, at.shape)
         moved, at = np.sqrt(((new - at) ** 2).sum(1).astype(float)), new
+
+
+# 13 hard negatives
+
+def plain_negatives(rows, n_pos, n_neg, least=50, most=95):
+    kept = [r for r in rows if r[1] is not None and r[2] is not None and all(x is not None and math.isfinite(x) for x in r[1])]
+    ints = [[math.floor(256 * x) for x in r[1]] for r in kept]
+    last = lambda i: (i is None, i)
+    out = []
+    for a, (i, _, label) in enumerate(kept):
+        if i is None or i % 10:
+            continue
+        scored = sorted(((-sum(x * y for x, y in zip(ints[a], ints[b])), last(kept[b][0]), kept[b][2]) for b in range(len(kept)) if b != a))
+        for score, p, _ in [s for s in scored if s[2] == label][:n_pos]:
+            window = [s for s in scored if s[2] != label and -least * score <= -100 * s[0] <= -most * score][:n_neg]
+            out += [(i, p[1], rank + 1, q[1], -score, -s) for rank, (s, q, _) in enumerate(window)]
+    return sorted(out, key=repr)
+
+
+def mined(spark, rows, **args):
+    df = table_of(spark, rows)
+    fit = df.filter(vectors.all_finite(F.col("embedding"))).withColumn("vector", vectors.scaled(F.col("embedding")))
+    return negatives.mine(fit.repartition(3), F.col("vec_id") % 10 == 0, **args)
+
+
+@pytest.mark.parametrize("seed,args", [(3, {}), (4, {"n_positives": 2, "n_negatives": 4}), (5, {"least": 20, "most": 100})])
+def test_negatives_equal_all_pairs(spark, monkeypatch, seed, args):
+    """With small leaves and blocks, so that the tree has several levels."""
+    monkeypatch.setattr(negatives, "LEAF_ROWS", 8)
+    monkeypatch.setattr(negatives, "FANOUT", 3)
+    monkeypatch.setattr(negatives, "QUERY_ROWS", 5)
+    rows = odd_vectors(seed=seed)
+    got = mined(spark, rows, **args)
+    want = plain_negatives(rows, args.get("n_positives", 5), args.get("n_negatives", 3), args.get("least", 50), args.get("most", 95))
+    assert want and sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def test_large_numbers_and_labels_alone(spark):
+    assert mined(spark, []).collect() == []
+    assert mined(spark, [(i, [1.0, 2.0], 1) for i in range(30)]).collect() == []
+    rows = [(i, [2.0e5 * (1 + i % 7), 1.0e5, 3.0e5 - i], i % 2) for i in range(40)]
+    assert sorted(map(tuple, mined(spark, rows).collect()), key=repr) == plain_negatives(rows, 5, 3)
+
+
+def test_tree_reaches_every_row_of_an_annulus():
+    rng = np.random.default_rng(7)
+    heads = rng.integers(-300, 300, (20, 16))
+    rows = heads[rng.integers(0, 20, 3000)] + rng.integers(-40, 40, (3000, 16))
+    top = int((rows * rows).sum(1).max())
+    tree = gnat.Tree.grow(rows[:500], top, 4, 3)
+    points = gnat.raised(rows, top)
+    leaf = tree.leaf_of(points)
+    spans = {}
+    for node, i, j, low, high in [*tree.spans(points[:1500]), *tree.spans(points[1500:])]:
+        a, b = spans.get((node, i, j), (low, high))
+        spans[node, i, j] = min(a, low), max(b, high)
+    for key, span in spans.items():
+        tree.note(*key, *span)
+    queries = np.column_stack([rows[:40].astype(float), np.zeros(40)])
+    d = gnat.apart(queries, points)
+    inner, outer = np.quantile(d, 0.01, axis=1), np.quantile(d, 0.05, axis=1)
+    reached = {(int(q), leaf_) for leaf_, who in tree.reached(queries, inner, outer, np.full(40, 1e-3)) for q in who}
+    inside = {(q, int(leaf[r])) for q, r in zip(*np.nonzero((d >= inner[:, None]) & (d <= outer[:, None])))}
+    assert inside <= reached and len(reached) < 0.7 * 40 * tree.leaves
