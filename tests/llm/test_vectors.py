@@ -126,7 +126,7 @@ def test_negatives_equal_all_pairs(spark, monkeypatch, seed, args):
 def test_large_numbers_and_labels_alone(spark):
     assert mined(spark, []).collect() == []
     assert mined(spark, [(i, [1.0, 2.0], 1) for i in range(30)]).collect() == []
-    rows = [(i, [2.0e5 * (1 + i % 7), 1.0e5, 3.0e5 - i], i % 2) for i in range(40)]
+    rows = [(i, [7.0e4 * (1 + i % 7), 1.0e5, 3.0e5 - i], i % 2) for i in range(40)]
     assert sorted(map(tuple, mined(spark, rows).collect()), key=repr) == plain_negatives(rows, 5, 3)
 
 
