@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltascope.llm import chat, decontaminate, langid, mixing, negatives, omh, quality, records, shallot, sharding, substring, suffix
+from deltascope.llm import chat, decontaminate, langid, mixing, negatives, omh, quality, records, shallot, sharding, substring, suffix, toxicity
 from deltascope.llm.common import table
 from deltascope.llm.vectors import all_finite, scaled
 
@@ -231,3 +231,11 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = found.select("vec_id", noisy.alias("label"), scaled(F.col("embedding")).alias("vector"))
     return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+@register("op12_string_kernel_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
