@@ -6,7 +6,7 @@ kernels. Characters that are neither letters nor digits only take room, so ``i-d
 is close to ``idiot``, and one more letter costs a part of the value.
 
 Sentences are compared with landmark strings: a feature is the greatest kernel of any
-unit of the sentence, a word mostly, with a landmark. The landmarks' own kernel matrix
+word of the sentence with a landmark. The landmarks' own kernel matrix
 turns features into those of the Nyström approximation, and a linear machine with squared
 hinge loss is trained on them by Newton steps. Each step is one pass over the labelled
 sentences that adds up a matrix of the landmarks' size, so all sentences take part and the
@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ CANDIDATES = 1000
 ODDS = 2.0
 LANDMARK_CHARS = 18
 #: Part of a landmark's letters that a string must have in the same order, else their kernel counts as 0.
-SHARED = 0.6
+SHARED = 0.75
 #: Longer words are read in windows of so many characters that overlap by half.
 UNIT_CHARS = 26
 #: Characters that mark the start and end of a word, and count as letters.
@@ -46,43 +45,45 @@ START, END = "\x02", "\x03"
 #: Weight of the norm in the loss, in sentences.
 RIDGE = 10.0
 STEPS = 25
+#: Labelled rows, about so many, that are learned from.
+LEARNED_ROWS = 20_000
+#: Characters of a text that are read together.
+PART_CHARS = 1_000_000
 #: Words remembered in a task, and those of them with features.
 KNOWN_WORDS, KNOWN_HITS = 300_000, 30_000
 
-SENTENCE_END = re.compile(r"[.!?]+(?=\s)|\n+|[。！？]+")
-EDGE = ".,;:!?\"'()[]{}<>#$%&*|@^~`_+=/\\-–—…«»“”„¡¿"
+SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+|\n+")
+FULL_END = re.compile(r"[。！？]+")
+SPELLED = re.compile(r"(?<!\S)\w(?:[ \t]+\w){3,}(?!\S)")
+EDGE = ".,;:!?\"'()[]{}<>#$%&*|@^~`_+=/\\-–—…«»“”„¡¿。！？"
 
 
-def units(sentence: str) -> list[str]:
-    """Words between marks of their start and end, without other marks at their edges.
+def parts(text: str | None) -> Iterator[str]:
+    """The text in lower case, cut at sentence ends into parts of about ``PART_CHARS``.
 
-    Letters that stand alone in a row are one word.
+    Letters that stand alone in a row are put together; a full-width sentence end gets a space.
     """
-    out, alone = [], []
-    for word in sentence.split():
-        plain = word.strip(EDGE)
-        if len(plain) == 1:
-            alone.append(plain)
-            continue
-        if len(alone) >= LENGTH:
-            out.append("".join(alone))
-        alone = []
-        if len(plain) >= LENGTH:
-            out.append(plain)
-    if len(alone) >= LENGTH:
-        out.append("".join(alone))
-    out = [f"{START}{u}{END}" for u in out]
-    if any(len(u) > UNIT_CHARS for u in out):
-        half = UNIT_CHARS // 2
-        out = [u[i:i + UNIT_CHARS] for u in out for i in range(0, max(len(u) - half, 1), half)]
-    return out
-
-
-def sentences(text: str | None) -> Iterator[list[str]]:
-    for part in SENTENCE_END.split((text or "").lower()):
-        found = units(part)
-        if found:
-            yield found
+    text = (text or "").lower()
+    at = 0
+    while at < len(text):
+        end = SENTENCE_END.search(text, at + PART_CHARS) if len(text) - at > PART_CHARS else None
+        part = text[at:end.end() if end else len(text)]
+        at += len(part)
+        if not part.isascii():
+            part = FULL_END.sub(lambda m: m.group() + " ", part)
+        yield SPELLED.sub(lambda m: "".join(m.group().split()), part)
+
+
+def units(word: str) -> list[str]:
+    """A word without marks at its edges, between marks of its start and end, or its windows if it is long."""
+    plain = word.strip(EDGE)
+    if len(plain) < LENGTH:
+        return []
+    whole = f"{START}{plain}{END}"
+    if len(whole) <= UNIT_CHARS:
+        return [whole]
+    half = UNIT_CHARS // 2
+    return [whole[i:i + UNIT_CHARS] for i in range(0, len(whole) - half, half)]
 
 
 def codes(strings: list[str], width: int) -> np.ndarray:
@@ -198,49 +199,49 @@ class Landmarks:
 
 
 class Reader:
-    """Features of sentences; words met before are remembered, up to a bound."""
+    """Features of words; those met before are remembered, up to a bound."""
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
-        self.known: dict[str, np.ndarray | None] = {}
-        self.hits = 0
+        self.plain: set[str] = set()
+        self.hits: dict[str, np.ndarray] = {}
 
-    def meet(self, texts: list[list[list[str]]]) -> None:
-        if len(self.known) > KNOWN_WORDS or self.hits > KNOWN_HITS:
-            self.known, self.hits = {}, 0
-        new = sorted({u for t in texts for s in t for u in s}.difference(self.known))
+    def meet(self, words: set[str]) -> None:
+        if len(self.plain) > KNOWN_WORDS or len(self.hits) > KNOWN_HITS:
+            self.plain, self.hits = set(), {}
+        new = sorted(words - self.plain - self.hits.keys())
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
-            table = self.landmarks.features(some)
-            any_ = table.any(axis=1)
-            self.hits += int(any_.sum())
-            self.known.update(zip(some, (row.copy() if a else None for row, a in zip(table, any_))))
-
-    def read(self, sentence: list[str]) -> np.ndarray | None:
-        """Greatest kernel with each landmark, or None if all are 0."""
-        rows = [r for r in map(self.known.__getitem__, sentence) if r is not None]
-        return None if not rows else rows[0] if len(rows) == 1 else np.max(rows, axis=0)
-
-
-def pieces(batch: pa.RecordBatch, text_at: int, chars: int = 200_000) -> Iterator[tuple[list[int], list[list[list[str]]]]]:
-    """(rows, their sentences) of slices of a batch; a long text comes in several slices."""
-    rows: list[int] = []
-    texts: list[list[list[str]]] = []
+            cut = [units(w) for w in some]
+            table = self.landmarks.features([u for c in cut for u in c])
+            owner = np.repeat(np.arange(len(some)), [len(c) for c in cut])
+            for i in np.flatnonzero(table.any(axis=1)):
+                w = some[owner[i]]
+                self.hits[w] = np.maximum(self.hits[w], table[i]) if w in self.hits else table[i].copy()
+            self.plain.update(w for w in some if w not in self.hits)
+
+    def sentences(self, part: str) -> Iterator[tuple[str, np.ndarray]]:
+        """(sentence, greatest kernel with each landmark) for the sentences that have any."""
+        hits = self.hits
+        for s in SENTENCE_END.split(part):
+            rows = [hits[w] for w in s.split() if w in hits]
+            if rows:
+                yield s, rows[0] if len(rows) == 1 else np.max(rows, axis=0)
+
+
+def pieces(batch: pa.RecordBatch, text_at: int, chars: int = 200_000) -> Iterator[list[tuple[int, str, list[str]]]]:
+    """(row, part of its text, words of the part) for slices of a batch."""
+    out: list[tuple[int, str, list[str]]] = []
     size = 0
     for i, cell in enumerate(batch.column(text_at)):
-        todo = sentences(cell.as_py())
-        while True:
-            part = list(islice(todo, 2000))
-            rows.append(i)
-            texts.append(part)
-            size += sum(len(u) for s in part for u in s)
+        for part in parts(cell.as_py()):
+            out.append((i, part, part.split()))
+            size += len(part)
             if size > chars:
-                yield rows, texts
-                rows, texts, size = [], [], 0
-            if len(part) < 2000:
-                break
-    if rows:
-        yield rows, texts
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
 
 
 def _batch(columns: list, kinds: list[pa.DataType], names: str) -> pa.RecordBatch:
@@ -264,9 +265,10 @@ def choose_landmarks(labelled: DataFrame) -> list[str]:
 
         for batch in batches:
             toxic = batch.column(1).to_pylist()
-            for rows, texts in pieces(batch, 0):
-                for i, text in zip(rows, texts):
-                    seen[toxic[i]].update({u for s in text for u in s if len(u) <= LANDMARK_CHARS and u[1:-1].isalpha()})
+            for piece in pieces(batch, 0):
+                for i, _, words in piece:
+                    found = {u for w in set(words) for u in units(w)}
+                    seen[toxic[i]].update(u for u in found if len(u) <= LANDMARK_CHARS and u[1:-1].isalpha())
                 if sum(map(len, seen.values())) > KNOWN_WORDS:
                     yield out()
         yield out()
@@ -282,9 +284,12 @@ def choose_landmarks(labelled: DataFrame) -> list[str]:
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(1).to_pylist()
-            for rows, texts in pieces(batch, 0):
-                found = {(u, s[j - 1] if j else "", s[j + 1] if j + 1 < len(s) else "", toxic[i])
-                         for i, text in zip(rows, texts) for s in text for j, u in enumerate(s) if u in wanted}
+            for piece in pieces(batch, 0):
+                found = set()
+                for i, _, words in piece:
+                    for j, w in enumerate(words):
+                        for u in wanted.intersection(units(w)):
+                            found.add((u, words[j - 1] if j else "", words[j + 1] if j + 1 < len(words) else "", toxic[i]))
                 yield _batch([[f[c] for f in found] for c in range(4)], [pa.string()] * 3 + [pa.bool_()], "unit before after toxic")
 
     places = labelled.mapInArrow(around, "unit string, before string, after string, toxic boolean").distinct()
@@ -299,17 +304,14 @@ def _sentence_table(labelled: DataFrame, landmarks: Landmarks) -> DataFrame:
         reader = Reader(landmarks)
         for batch in batches:
             toxic = batch.column(1).to_pylist()
-            for rows, texts in pieces(batch, 0):
-                reader.meet(texts)
+            for piece in pieces(batch, 0):
+                reader.meet(set().union(*(words for _, _, words in piece)))
                 none = [0, 0]
                 out = []
-                for i, text in zip(rows, texts):
-                    for s in text:
-                        x = reader.read(s)
-                        if x is None:
-                            none[not toxic[i]] += 1
-                        else:
-                            out.append((" ".join(s), x, int(toxic[i]), int(not toxic[i])))
+                for i, part, _ in piece:
+                    some = [(" ".join(s.split()), x, int(toxic[i]), int(not toxic[i])) for s, x in reader.sentences(part)]
+                    none[not toxic[i]] += sum(1 for s in SENTENCE_END.split(part) if s) - len(some)
+                    out += some
                 out.append((None, None, *none))
                 yield _batch([[o[c] for o in out] for c in range(4)], [pa.string(), pa.list_(pa.float32()), pa.int64(), pa.int64()], "s x bad good")
 
@@ -362,18 +364,19 @@ def _judged(docs: DataFrame, landmarks: Landmarks, weights: np.ndarray, bias: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(landmarks)
         for batch in batches:
-            worst = np.full(batch.num_rows, -np.inf)
+            worst = np.full(batch.num_rows, bias)
             total, words = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for rows, texts in pieces(batch, n_keep):
-                reader.meet(texts)
-                for i, text in zip(rows, texts):
-                    for s in text:
-                        words[i] += len(s)
-                        x = reader.read(s)
-                        over = 0.0 if x is None else float(x @ weights)
+            for piece in pieces(batch, n_keep):
+                each = [set(words) for _, _, words in piece]
+                reader.meet(set().union(*each))
+                for (i, part, words_), own in zip(piece, each):
+                    words[i] += len(words_)
+                    if reader.hits.keys().isdisjoint(own):
+                        continue
+                    for _, x in reader.sentences(part):
+                        over = float(x @ weights)
                         worst[i] = max(worst[i], bias + over)
                         total[i] += max(over, 0.0)
-            worst[~np.isfinite(worst)] = bias
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *map(pa.array, (worst, total, words))],
                                              names=[*keep, "worst", "total", "words"])
 
@@ -415,12 +418,20 @@ def _calibrate(judged: DataFrame) -> list[float]:
     return a.tolist()
 
 
+def _sample(labelled: DataFrame) -> DataFrame:
+    """About ``LEARNED_ROWS`` of the rows, by a hash of id and text, or all if there are not more."""
+    n = labelled.count()
+    low = F.xxhash64("id", "text").cast("double") < 2.0**64 * min(1.0, LEARNED_ROWS / max(n, 1)) - 2.0**63
+    return (labelled.filter(low) if n > LEARNED_ROWS else labelled).select("text", "toxic")
+
+
 def score(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.3, id_column: str = "doc_id",
           text_column: str = "text", label_column: str = "toxic") -> DataFrame:
     """``score`` and ``predicted`` of each text, after learning the rows of ``docs`` that ``learn`` is true for.
 
     Labels are joined by ``id_column``. A label is 0 or 1; rows with a NULL id or label are
-    not learned, and of several labels of an id 1 counts. All rows of an id are learned.
+    not learned, and of several labels of an id 1 counts. About ``LEARNED_ROWS`` rows are
+    learned, drawn by a hash of id and text out of all labelled rows.
     A NULL or empty text, and one without a word of four letters, has no features and gets the
     score of a sentence that resembles no landmark. Without labels of both kinds every
     score is the share of label 1, 0 if there are none. Rows come back once each, also
@@ -429,7 +440,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
     texts = docs.select(named(id_column).alias("id"), named(text_column).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     marked = labels.select(named(id_column).alias("id"), named(label_column).alias("toxic")).filter("id IS NOT NULL AND toxic IS NOT NULL")
     marked = marked.groupBy("id").agg((F.max("toxic") >= 1).alias("toxic"))
-    labelled = cut_lineage(texts.filter("learn").join(marked, "id").select("text", "toxic"))
+    labelled = cut_lineage(_sample(texts.filter("learn").join(marked, "id").select("id", "toxic", "text")))
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     out = [F.col("id").alias(id_column), "score", (F.col("score") >= threshold).cast("int").alias("predicted")]
     if len(sizes) < 2:

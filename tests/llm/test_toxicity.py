@@ -47,15 +47,23 @@ def test_kernel_and_screen_equal_their_definitions():
 
 
 def test_units_of_gapped_and_long_words():
-    assert toxicity.units('"Idiot," a b $$$ i d i o t. xy') == ["\x02Idiot\x03", "\x02idiot\x03"]
-    assert toxicity.units("i-d-i-o-t") == ["\x02i-d-i-o-t\x03"]
+    assert toxicity.units('"Idiot,"') == ["\x02Idiot\x03"] and toxicity.units("$$$") == []
+    assert "idiot" in next(toxicity.parts("so i d i o t is")).split()
     long = "x" * 300 + "idiot" + "y" * 300
     assert any("idiot" in u for u in toxicity.units(long)) and all(len(u) <= toxicity.UNIT_CHARS for u in toxicity.units(long))
     marks = toxicity.Landmarks(["\x02idiot\x03"])
-    near = marks.features(toxicity.units("i-d-i-o-t") + toxicity.units("idxiot") + toxicity.units("island"))[:, 0]
+    near = marks.features([u for w in ("i-d-i-o-t", "idxiot", "island") for u in toxicity.units(w)])[:, 0]
     assert near[0] > 0.9 and near[1] > 0.4 and near[2] < 0.1
 
 
+def test_parts_of_a_long_text_end_with_sentences(monkeypatch):
+    text = "One two three. Four five six!\nSeven eight nine? " * 50
+    monkeypatch.setattr(toxicity, "PART_CHARS", 40)
+    cut = list(toxicity.parts(text))
+    assert "".join(cut) == text.lower() and len(cut) > 20 and all(c.rstrip()[-1] in ".!?" for c in cut)
+    assert list(toxicity.parts(None)) == [] == list(toxicity.parts(""))
+
+
 def corpus(n=400, seed=1):
     rng = random.Random(seed)
     rows, labels = [], []
