@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from deltascope.llm.common import named
 from deltascope.llm.hashing import BYTE_CODE, mix
+from deltascope.functions.ranking import ranged_row_number
 from deltascope.session import cut_lineage
 
 LENGTH = 100
@@ -400,15 +401,30 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
     Texts are UTF-8 bytes, a NULL text none. Strings are judged on the input,
     not on what is left of it; the earlier start is that of the smaller id, or
     the earlier place in one document; a NULL id ranks last. Rows equal in id
-    and text don't remove each other and get equal results; ids should name one
-    text each, texts that share an id get each other's spans. Other columns
-    are left out.
+    and text don't remove each other and get equal results; texts that share an
+    id, or have none, are documents of their own, in the order of two hashes of
+    the text. Other columns are left out.
     """
-    text = named(text_column)
     last = F.lit(2**63 - 1)
-    own = docs.select(F.coalesce(named(id_column).cast("long"), last).alias("doc"), text.alias("text"))
+    own = docs.select(F.coalesce(named(id_column).cast("long"), last).alias("doc"), named(text_column).alias("text"))
+    shared = own.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    if shared.isEmpty():
+        return _removal(own).withColumn("doc_id", F.when(F.col("doc") < last, F.col("doc"))).select("doc_id", *RESULT)
+    known = own.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    numbers = cut_lineage(ranged_row_number(known.select("doc", "t1", "t2").distinct(), ["doc", "t1", "t2"], "number"))
+    placed = known.join(numbers, ["doc", "t1", "t2"]).select(F.col("number").alias("doc"), "text")
+    back = numbers.select(F.col("number").alias("doc"), F.when(F.col("doc") < last, F.col("doc")).alias("doc_id"))
+    return _removal(cut_lineage(placed)).join(back, "doc").select("doc_id", *RESULT)
+
+
+#: Columns of the result beside the id.
+RESULT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
+
+
+def _removal(own: DataFrame) -> DataFrame:
+    """``doc`` and what is removed; ``doc`` names one text each."""
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     splitters = splitters_of(own, max(parts, -(-total // BUCKET_BYTES)))
     sent = own.mapInArrow(_send(splitters), ROW)
     dealt = sent.repartitionById(len(splitters) + 1, F.col("bucket"))
@@ -437,5 +453,4 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
         "doc", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"),
         F.array().cast("array<struct<start:int,end:int>>").alias("removed"))
-    return touched.unionByName(whole).withColumn("doc_id", F.when(F.col("doc") < last, F.col("doc"))).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
+    return touched.unionByName(whole)

@@ -498,6 +498,16 @@ def test_removal_equals_all_strings(spark, sf):
     assert removal(docs) == plain_removal(docs.select("doc_id", "text").collect())
 
 
+def test_texts_that_share_an_id_keep_what_is_unrepeated(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = ("".join(rng.choice(list("abcdefgh "), 300)) for _ in range(3))
+    rows = [(1, a), (None, a), (None, b), (7, a), (7, c), (7, c), (9, None), (9, b + "!")]
+    got = suffix.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got), key=repr)
+    assert removed == sorted([(1, 300, 0), (None, 300, 300), (None, 300, 300), (7, 300, 300), (7, 300, 0), (7, 300, 0),
+                              (9, 0, 0), (9, 301, 0)], key=repr)
+
+
 @pytest.mark.parametrize("slice_bytes", [1 << 21, 700])
 def test_removal_of_made_texts(spark, monkeypatch, slice_bytes):
     monkeypatch.setattr(suffix, "SLICE_BYTES", slice_bytes)  # tasks run in forked workers of this process only with a new session
