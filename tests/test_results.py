@@ -153,3 +153,13 @@ def test_first_valid_attempt_wins(spark):
     out = {r["k"]: r for r in sampling.select_attempt(attempts, "k").collect()}
     assert (out[1]["status"], out[1]["valid_attempt"], out[1]["attempts_made"], out[1]["last_error"]) == ("success", 2, 2, "call")
     assert (out[2]["status"], out[2]["attempts_made"], out[2]["last_error"]) == ("failed_llm", 3, "call 3")
+
+
+def test_numbers_by_drawn_ranges(spark):
+    """Skewed, NULL and tied keys of several columns."""
+    from deltascope.functions.ranking import ranged_row_number
+    df = spark.range(2000).select(F.when(F.col("id") % 50 > 0, F.lit(7)).otherwise(F.col("id") * 10**15).alias("a"),
+                                  F.when(F.col("id") % 9 > 0, F.col("id") % 400).alias("b"), "id")
+    got = sorted(((r["row_no"], r["a"], r["b"], r["id"]) for r in ranged_row_number(df, ["a", "b", "id"]).collect()))
+    want = sorted(((r["a"], r["b"], r["id"]) for r in df.collect()), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+    assert got == [(i + 1, *r) for i, r in enumerate(want)]
