@@ -19,7 +19,7 @@ AS_ALIAS = r"\bas\s+([\p{L}\p{N}_]+)"
 ON_CHAIN = (r"(?i)\bon\b\s*\(*\s*(\w+\.\w+\s*=\s*\w+\.\w+"
             r"(?:\s+and\s+[\w.]+\s*(?:<=|>=|<>|=|<|>)\s*(?:'[^']*'|[\w.]+))*)")
 COLUMN_EQUALITY = r"(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)"
-CONDITION = r"(?i)(\w+\()?(?:\w+\.)?(\w+)\)?\s*(<=|>=|<>|!=|=|<|>|\blike\b)\s*(?:'((?:[^']|'')*)'|(-?\d+(?:\.\d+)?))"
+CONDITION = r"(?i)(\w+\()?(?:\w+\.)?(\w+)\)?\s*(<=|>=|<>|!=|=|<|>|\blike\b)\s*(?:'((?:[^']|'')*)'|(-?(?:\d+(?:\.\d+)?|\.\d+)(?:e[+-]?\d+)?\b))"
 # words that may follow a table name without being its alias
 NOT_ALIAS = ("on", "where", "join", "inner", "left", "right", "full", "cross", "outer", "natural",
              "group", "order", "having", "limit", "union", "intersect", "except", "set", "using", "values", "as")

@@ -152,7 +152,7 @@ def join_pairs(spark, sf):
     return querylog.join_mining(fx.query_log(spark, sf))
 
 
-_COND = "'(?i)(\\w+\\()?(?:\\w+\\.)?(\\w+)\\)?\\s*(<=|>=|<>|!=|=|<|>|\\blike\\b)\\s*(?:''((?:[^'']|'''')*)''|(-?\\d+(?:\\.\\d+)?))'"
+_COND = "'(?i)(\\w+\\()?(?:\\w+\\.)?(\\w+)\\)?\\s*(<=|>=|<>|!=|=|<|>|\\blike\\b)\\s*(?:''((?:[^'']|'''')*)''|(-?(?:\\d+(?:\\.\\d+)?|\\.\\d+)(?:e[+-]?\\d+)?\\b))'"
 
 
 @query("condition_literals", f"""{WITH_USAGE}, {VALUE_DICTIONARY},

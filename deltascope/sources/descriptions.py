@@ -17,19 +17,17 @@ _WINDOWS = "".join(bytes([b]).decode("cp1252") for b in _HIGH)
 
 
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(file, encoding): UTF-16 by its mark, else the first of UTF-8, cp1252, Latin-1 that fits.
+    """(file, encoding): UTF-16 by its mark at the start, else the first of UTF-8, cp1252, Latin-1 that fits.
 
-    The lines of all files are checked in parallel and combined per file.
+    A file is looked at as a whole, in its task; only its first two bytes can be a mark.
     """
-    bytes_hex = F.hex(F.col("value").cast("binary"))
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        bytes_hex.rlike("^(FFFE|FEFF)").alias("mark"),
-        F.is_valid_utf8("value").alias("utf8"),
-        (~bytes_hex.rlike("^(..)*(81|8D|8F|90|9D)")).alias("windows"))
-    return lines.groupBy("file").agg(
-        F.when(F.bool_or("mark"), "UTF-16").when(F.bool_and("utf8"), "UTF-8")
-        .when(F.bool_and("windows"), "cp1252").otherwise("ISO-8859-1").alias("encoding"))
+    content = F.col("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").option("recursiveFileLookup", True).load(path)
+    return files.filter(F.col("length") > 0).select(
+        F.col("path").alias("file"),
+        F.when(F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF"), "UTF-16")
+        .when(F.is_valid_utf8(content.cast("string")), "UTF-8")
+        .when(~F.decode(content, "ISO-8859-1").rlike(r"[\x81\x8D\x8F\x90\x9D]"), "cp1252").otherwise("ISO-8859-1").alias("encoding"))
 
 
 def _table_name() -> Column:

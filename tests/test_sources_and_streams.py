@@ -50,6 +50,16 @@ def test_description_encodings(spark, tmp_path):
         assert got[name]["column_description"] == f'{text}\nline "2"'
 
 
+def test_mark_bytes_count_at_the_start_of_a_file_only(spark, tmp_path):
+    head = "original_column_name,column_name,column_description,data_format,value_description\n"
+    (tmp_path / "some name.csv").write_bytes(head.encode() + "a,b,one,text,x\n".encode() + b"\xff\xfe,b,\xe9t\xe9,text,x\n")
+    (tmp_path / "long.csv").write_bytes(head.encode() + b"a,b," + b"\xe9" * 300_000 + b",text,x\n")
+    got = descriptions.read_descriptions(spark, str(tmp_path / "*.csv")).collect()
+    assert sorted((r["table_name"], r["encoding"], r["original_column_name"], r["column_description"][:3]) for r in got) == [
+        ("long", "cp1252", "a", "ééé"), ("some name", "cp1252", "a", "one"), ("some name", "cp1252", "ÿþ", "été")]
+
+
+
 def test_missing_store_is_remembered(spark, tmp_path):
     for _ in range(2):
         with pytest.raises(FileNotFoundError):

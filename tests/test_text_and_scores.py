@@ -63,6 +63,11 @@ def test_literals_stay_whole(spark):
     assert [c["literal"] for c in got] == ["99.75", "-3", "it's", "-0.5"]
 
 
+def test_numbers_in_conditions(spark):
+    got = one(spark, "where a = 1e5 and b < .5 and c > -2.5E-3 and d = 7abc and e = 12", text.conditions)
+    assert [(c["column"], c["literal"]) for c in got] == [("a", "1e5"), ("b", ".5"), ("c", "-2.5E-3"), ("e", "12")]
+
+
 def test_conditions(spark):
     got = one(spark, "WHERE t.a = 'x y' AND UPPER(b) <> 'Q' and c LIKE '%z%' and d >= 10", text.conditions)
     assert [(c["column"], c["op"], c["literal"], c["in_call"]) for c in got] == [
