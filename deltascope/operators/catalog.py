@@ -18,7 +18,7 @@ def subselect(selection: DataFrame, catalog: DataFrame) -> DataFrame:
     names = catalog.select("table_name", "column_name", F.lower("table_name").alias("_t"),
                            F.lower("column_name").alias("_c"))
     others = [c for c in selection.columns if c not in ("table_name", "column_name")]
-    return _low(selection).join(names, ["_t", "_c"]).select(*others, "table_name", "column_name")
+    return _low(selection).join(F.broadcast(names), ["_t", "_c"]).select(*others, "table_name", "column_name")
 
 
 def union_selections(selections: DataFrame, catalog: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -33,7 +33,7 @@ def enrich(selection: DataFrame, info: DataFrame, fields: Sequence[str], default
         raise ValueError(f"unknown metadata fields: {sorted(unknown)}")
     facts = info.select(F.lower("table_name").alias("_t"), F.lower("column_name").alias("_c"), *fields)
     joined = selection.withColumn("_t", F.lower("table_name")).withColumn("_c", F.lower("column_name")).join(
-        facts, ["_t", "_c"], "left")
+        F.broadcast(facts), ["_t", "_c"], "left")
     return joined.select(*selection.columns, *[F.coalesce(F.col(f), F.lit(defaults[f])).alias(f) for f in fields])
 
 
@@ -42,22 +42,23 @@ def connections(selected: DataFrame, catalog: DataFrame, edges: DataFrame) -> Da
 
     ``selected`` has (query_id, table_name), at most one row per table. A column
     counts if it is a key, refers to or is referred to by a selected table, or
-    is named like a key of another selected table.
+    is named like a key of another selected table. What comes from the schema is
+    broadcast; selections, as many as there are queries, are merged.
     """
     chosen = selected.select("query_id", "table_name").distinct()
     other = chosen.select("query_id", F.col("table_name").alias("ref_table"))
     keys = catalog.filter("is_key")
-    own = chosen.join(keys, "table_name").select("query_id", "table_name", "column_name")
+    own = chosen.join(F.broadcast(keys), "table_name").select("query_id", "table_name", "column_name")
     links = edges.select("table_name", "column_name", "ref_table").unionByName(edges.select(
         F.col("ref_table").alias("table_name"), F.col("ref_column").alias("column_name"),
         F.col("table_name").alias("ref_table")))
-    linked = chosen.join(links, "table_name").join(other, ["query_id", "ref_table"]).select(
+    linked = chosen.join(F.broadcast(links), "table_name").join(other.hint("merge"), ["query_id", "ref_table"]).select(
         "query_id", "table_name", "column_name")
     key_names = keys.select(F.col("table_name").alias("ref_table"), F.lower("column_name").alias("_c"))
     namesakes = (catalog.select("table_name", "column_name", F.lower("column_name").alias("_c"))
-                 .join(key_names, "_c").filter(F.lower("table_name") != F.lower("ref_table"))
+                 .join(F.broadcast(key_names), "_c").filter(F.lower("table_name") != F.lower("ref_table"))
                  .select("table_name", "column_name", "ref_table").distinct())
-    named = chosen.join(namesakes, "table_name").join(other, ["query_id", "ref_table"]).select(
+    named = chosen.join(F.broadcast(namesakes), "table_name").join(other.hint("merge"), ["query_id", "ref_table"]).select(
         "query_id", "table_name", "column_name")
     return own.unionByName(linked).unionByName(named).distinct()
 
