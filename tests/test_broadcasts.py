@@ -23,6 +23,7 @@ def broadcast_files(frame):
     return found
 
 
-@pytest.mark.parametrize("name", ["query_table_usage", "schema_subselect", "schema_union", "schema_enrich", "connections"])
+@pytest.mark.parametrize("name", ["query_table_usage", "schema_subselect", "schema_union", "schema_enrich", "connections",
+                                  "value_exists", "condition_literals", "lsh_index"])
 def test_only_the_schema_is_broadcast(spark, sf, name):
     assert broadcast_files(queries()[name](spark, sf)) == []
