@@ -38,17 +38,20 @@ def alter_update(spark, sf):
 @query("alter_insert", f"""
 WITH new AS (SELECT CASE WHEN {u(17, 'o_orderkey')} < 0.5 THEN o_orderkey ELSE {fx.copy_key_sql('o_orderkey')} END AS o_orderkey,
   o_custkey, o_totalprice FROM orders WHERE {u(3, 'o_orderkey')} < 0.01)
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders
-UNION ALL SELECT o_orderkey, o_custkey, NULL, o_totalprice FROM new WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, false AS collides FROM orders
+UNION ALL SELECT o_orderkey, o_custkey, NULL, o_totalprice,
+  o_orderkey IN (SELECT o_orderkey FROM orders) FROM new""")
 def alter_insert(spark, sf):
-    """Half of the new rows have a key that is taken; they are left out, and the rest is inserted under the key's rule."""
+    """All new rows, marked where their key is taken, as half of them are."""
     base = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     key = F.col("o_orderkey")
     rows = base.filter(hash01(3, key) < 0.01).select(
         F.when(hash01(17, key) < 0.5, key).otherwise(fx.copy_key(key)).alias("o_orderkey"),
         "o_custkey", "o_totalprice")
     taken = alter.key_collisions(base, rows, ["o_orderkey"]).select("o_orderkey").distinct()
-    return alter.insert_rows(base, rows.join(taken, "o_orderkey", "left_anti"), ["o_orderkey"])
+    marked = rows.join(taken.withColumn("collides", F.lit(True)), "o_orderkey", "left").withColumn(
+        "collides", F.coalesce("collides", F.lit(False)))
+    return alter.insert_rows(base.withColumn("collides", F.lit(False)), marked)
 
 
 @query("alter_sequence", fx.WITH_ORDERS + ", " + fx.WITH_PART + """

@@ -136,3 +136,14 @@ def test_a_fix_is_applied_to_the_altered_table(spark):
     assert out[2]["description"] == "gold_sql result mismatch: expected 1 row(s), got 1 row(s). Missing: 1 row(s), extra: 1 row(s)"
     assert out[4]["description"] == "gold_sql result mismatch: expected 1 row(s), got 2 row(s). Missing: 0 row(s), extra: 1 row(s)"
     assert out[5]["description"] == "Fix SQL execution failed: no such table"
+
+
+def test_insert_keeps_rows_whose_key_is_taken(spark, tmp_path):
+    """Every drawn row is there, marked, whether its key is taken or not."""
+    from __spark_entry__ import queries
+    spark.range(4000).selectExpr("id o_orderkey", "id o_custkey", "'O' o_orderstatus", "1.5D o_totalprice").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    out = queries()["alter_insert"](spark, str(tmp_path)).filter("o_orderstatus IS NULL").groupBy("collides").count()
+    found = dict(rows(out))
+    drawn = spark.range(4000).filter(fx.hash01(3, F.col("id")) < 0.01).count()
+    assert set(found) == {True, False} and sum(found.values()) == drawn
