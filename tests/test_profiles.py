@@ -102,3 +102,15 @@ def test_rows_context_limits_and_counts(spark):
     assert out[2] == "(empty result set)"
     assert out[1].splitlines()[0] == '{"k": 0}' and out[1].splitlines()[-1] == "... (5 more rows omitted)"
     assert len(out[1].splitlines()) == 31
+
+
+def test_examples_do_not_depend_on_the_rows_that_bound_them(spark):
+    """Any part of the values may bound the search, also an empty one or one with few values."""
+    data = ([("t", "many", f"{i:03d}") for i in range(40)] + [("t", "few", v) for v in ("b", "a", None, "a")]
+            + [("t", "date", v) for v in "edcba"] + [("t", "long", "x" * 60 + str(i)) for i in range(30)])
+    values = spark.createDataFrame(data, "table_name string, column_name string, value string")
+    stats = profile.column_statistics(values)
+    whole = rows(profile.example_values(values, stats, [("t", "date")]))
+    assert ("t", "many", ["000", "001", "002"]) in whole and ("t", "few", ["a", "b"]) in whole
+    for part in ("value > '020'", "false", "value < '003'", "true"):
+        assert rows(profile.example_values(values, stats, [("t", "date")], values.filter(part))) == whole
