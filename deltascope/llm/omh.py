@@ -155,6 +155,28 @@ def _compare(least: float):
     return compare
 
 
+def _texts_of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, text) of the nodes in ``wanted`` (id, doc_id, t1, t2)."""
+    return join_small(rows, wanted, ["doc_id", "t1", "t2"]).select("id", "text").dropDuplicates(["id"])
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, texts in text_slices(batch, 1):
+            hashes, _, _, bounds = word_hashes(texts)
+            runs = [labelled(shingles(hashes[bounds[i]:bounds[i + 1]], SHINGLE)) for i in range(len(texts))]
+            ids = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), [len(r) for r in runs])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(runs).view(np.int64))], names=["id", "shingle"])
+
+
+def alone_counts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, alone): shingles of a node that no other node in ``wanted`` (id, doc_id, t1, t2) has; no row if there are none."""
+    found = _texts_of(wanted, rows).mapInArrow(_shingle_rows, "id long, shingle long")
+    # labelled shingles differ within a text
+    single = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter(F.col("n") == 1)
+    return single.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("alone"))
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of pairs of nodes.
 
@@ -163,7 +185,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, least: float) ->
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = cut_lineage(nodes.select("id", "doc_id", "t1", "t2").join(ends, "id", "left_semi"))
-    involved = join_small(rows, wanted, ["doc_id", "t1", "t2"]).select("id", "text").dropDuplicates(["id"])
+    involved = _texts_of(wanted, rows)
     counts = pairs.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     total = pairs.count()
     right = pairs.join(involved.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -206,8 +228,10 @@ def _compare_groups(groups: DataFrame, nodes: DataFrame, rows: DataFrame, thresh
     u outside it are compared with the texts x of the group that are in
     another class than u, if the sizes and the bits allow the threshold, and if
     the distances to the head do: the distance d is a metric, so
-    |d(head, u) - d(head, x)| > 1 - threshold rules a link out. A group of
-    copies with few strangers thus costs its size times their number.
+    |d(head, u) - d(head, x)| > 1 - threshold rules a link out. A shingle that no
+    other of these texts has is in no common subsequence, so a text with many
+    of those, such as a copy with words of its own, is linked to none. A group of
+    copies with few other strangers thus costs its size times their number.
     """
     reach = 2 * threshold - 1  # similarities to the head are computed down to here
     sizes = groups.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
@@ -245,18 +269,40 @@ def _compare_groups(groups: DataFrame, nodes: DataFrame, rows: DataFrame, thresh
         return labels
     slack = 1 - threshold + 1e-9
     full = nodes.select("id", "sketches", *BIT_COLUMNS)
-    busy = state.join(strangers.select("sketch").distinct(), "sketch", "left_semi").join(full, "id")
+    busy = cut_lineage(state.join(strangers.select("sketch").distinct(), "sketch", "left_semi"))
+    wanted = cut_lineage(nodes.select("id", "doc_id", "t1", "t2").join(busy.select("id").distinct(), "id", "left_semi"))
+    alone = cut_lineage(alone_counts(wanted, rows))
+    busy = (busy.join(alone, "id", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+            .join(full, "id"))
+    # a head with words of its own leaves many unlinked: those are compared once more, with the text of its class that has the fewest
+    busy = cut_lineage(busy)
+    centres = busy.filter("settled").groupBy("sketch").agg(F.max_by("id", F.struct("common", -F.col("id"))).alias("centre"))
+    centre = busy.join(centres, "sketch").filter(F.col("id") == F.col("centre")).drop("centre")
+    u, x = busy.filter(~F.col("settled")).alias("u"), centre.alias("x")
+    close = ((F.col("u.sketch") == F.col("x.sketch"))
+             & (F.least("u.size", "x.size") >= threshold * F.greatest("u.size", "x.size") - 1e-9)
+             & (F.least("u.common", "x.common") * (1 + threshold) >= threshold * (F.col("u.size") + F.col("x.size")) - 1e-9)
+             & _alike("u", "x", threshold))
+    known = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = u.join(x, close).select(F.least("u.id", "x.id").alias("a"), F.greatest("u.id", "x.id").alias("b")).distinct()
+    pairs = cut_lineage(pairs.join(known, ["a", "b"], "left_anti"))
+    again = cut_lineage(verify(pairs, nodes, rows, threshold).filter(F.col("similarity") >= threshold))
+    found = cut_lineage(found.unionByName(again.select(found.columns)))
+    known = known.unionByName(pairs)
+    labels = components(found.filter(F.col("similarity") >= threshold))
+    # own of the head, which is settled, is that of all settled ones of its group
+    own = labels.select("id", F.col("class_id").alias("now"))
+    busy = busy.join(own, "id", "left").withColumn("own", F.coalesce("now", "own")).drop("now")
+    of_group = busy.filter("settled").groupBy("sketch").agg(F.first("own").alias("of_head"))
+    busy = cut_lineage(busy.join(of_group, "sketch").withColumn("settled", F.col("settled") | (F.col("own") == F.col("of_head"))).drop("of_head"))
     u, x = busy.filter(~F.col("settled")).alias("u"), busy.alias("x")
     shared = F.array_intersect("u.sketches", "x.sketches")
     others = u.join(x, (
-        (F.col("u.sketch") == F.col("x.sketch")) & (F.col("u.own") != F.col("x.own")) & (F.col("x.settled") | (F.col("u.id") < F.col("x.id")))
-        & (F.least("u.size", "x.size") >= threshold * F.greatest("u.size", "x.size") - 1e-9)
+        close & (F.col("u.own") != F.col("x.own")) & (F.col("x.settled") | (F.col("u.id") < F.col("x.id")))
         & (F.col("u.least") - F.col("x.most") <= slack) & (F.col("x.least") - F.col("u.most") <= slack)
-        & _alike("u", "x", threshold)
         # in one of the groups that have both
         & (F.size(shared) >= SHARED) & (F.array_min(shared) == F.col("u.sketch"))))
     pairs = others.select(F.least("u.id", "x.id").alias("a"), F.greatest("u.id", "x.id").alias("b"))
-    known = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut_lineage(pairs.join(known, ["a", "b"], "left_anti"))
     more = cut_lineage(verify(pairs, nodes, rows, threshold).filter(F.col("similarity") >= threshold))
     return components(found.filter(F.col("similarity") >= threshold).unionByName(more))

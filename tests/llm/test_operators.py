@@ -83,6 +83,40 @@ def test_short_and_unspaced_repeats_go(spark):
     assert out[3]["text"] == "New\n" and out[3]["removed_units"] == 1
 
 
+def plain_pieces(text):
+    """Units and lines as the operator's docstring has them, one at a time: ordinal, words, start, length, whether a line, normalised text."""
+    at, out = 0, []
+    for unit in substring.unit_pattern().findall(text):
+        words = unit.lower().split()
+        if words:
+            n = len(words) + len(substring.UNSPACED.findall("".join(words))) // 2
+            out.append((len(out), n, at, len(unit), False, " ".join(words)))
+        at += len(unit)
+    at, n = 0, 0
+    for line in text.split("\n"):
+        if line.split():
+            n += 1
+            out.append((-n, 0, at, len(line), True, " ".join(line.split())))
+        at += len(line) + 1
+    return out
+
+
+def test_pieces_of_many_texts_at_once_equal_plain_ones():
+    rng = np.random.default_rng(12)
+    signs = list("abAB ..!\n\t\u3000。é") + ["\u0130", "i\u0307", "Σ", "ς", "σ", "ǅ", "ǆ", "这", "行", "\x85", "\U0001f600", "\U00020001", "\ud7ff", "I", "i"]
+    texts = ["", "a", "A b. a  B\nA b.", "\n\n", "...a", "x" * 3000 + " " + "y" * 300, "ab c", "a bc", ""]
+    texts += ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(1500)]
+    want = [(i, *p) for i, t in enumerate(texts) for p in plain_pieces(t)]
+    text, ordinal, words, start, length, h1, h2 = (c.tolist() for c in substring._pieces(texts))
+    found = {(i, o): (w, s, n, (x, y)) for i, o, w, s, n, x, y in zip(text, ordinal, words, start, length, h1, h2)}
+    assert len(found) == len(text) == len(want)
+    digest_of, of_digest = {}, {}
+    for i, o, w, s, n, is_line, plain in want:
+        assert found[i, o][:3] == (w, s, n)
+        assert digest_of.setdefault((is_line, plain), found[i, o][3]) == found[i, o][3]
+        assert of_digest.setdefault(found[i, o][3], (is_line, plain)) == (is_line, plain)
+
+
 # 2 quality rules
 
 def test_cascade_order_changes_no_verdict(spark, sf):
@@ -426,6 +460,28 @@ def test_classes_equal_all_pairs(spark):
     assert got == plain_classes(texts)
 
 
+def test_copies_with_words_of_their_own_are_not_paired(spark, monkeypatch):
+    """Copies of one text, many with so many words of their own that they are linked to none: few pairs are looked at, no link is lost."""
+    rng = np.random.default_rng(10)
+    base = [f"v{x}" for x in rng.integers(0, 500, 150)]
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 7)), replace=False):
+            words[at] = f"n{i}" if rng.random() < 0.9 else "same"
+        texts.append((i, " ".join(words)))
+    seen, verify = [], omh.verify
+
+    def counted(pairs, nodes, rows, least):
+        seen.append(pairs.count())
+        return verify(pairs, nodes, rows, least)
+
+    monkeypatch.setattr(omh, "verify", counted)
+    got = {r["doc_id"]: r["class_id"] for r in omh.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == plain_classes(texts)
+    assert len(seen) == 3 and sum(seen[1:]) < 160
+
+
 def test_classes_of_documents(spark, sf):
     texts = [tuple(r) for r in docs_of(spark, sf).select("doc_id", "text").collect()]
     got = {r["doc_id"]: r["class_id"] for r in omh.near_duplicates(docs_of(spark, sf)).collect()}
