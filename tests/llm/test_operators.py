@@ -101,6 +101,17 @@ def plain_pieces(text):
     return out
 
 
+def test_only_first_pieces_of_a_text_are_sent():
+    import pyarrow as pa
+    texts = ["One two. One two. Three four.\nOne two.\nOne two.\n", None, "", "One two."]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9, 10]), pa.array([1, 2, 3, 4]), pa.array(texts)], names=["row_id", "doc_id", "text"])
+    sent = [r for b in substring._unit_rows(iter([batch])) for r in b.to_pylist()]
+    assert all(set(r) == {"row_id", "doc_id", "ordinal", "h1", "h2"} for r in sent)
+    # of the first text: two units, and two lines
+    assert [(r["doc_id"], r["ordinal"]) for r in sent if r["doc_id"] == 1] == [(1, 0), (1, 2), (1, -1), (1, -2)]
+    assert len({(r["row_id"], r["h1"], r["h2"]) for r in sent}) == len(sent)
+
+
 def test_pieces_of_many_texts_at_once_equal_plain_ones():
     rng = np.random.default_rng(12)
     signs = list("abAB ..!\n\t\u3000。é") + ["\u0130", "i\u0307", "Σ", "ς", "σ", "ǅ", "ǆ", "这", "行", "\x85", "\U0001f600", "\U00020001", "\ud7ff", "I", "i"]
