@@ -38,7 +38,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files and their index; returns what is read back from them for each document."""
-    return records.export(docs, tokenizer_path())
+    # the workers that encode serve the other stages too, which have little memory to spare
+    return records.export(docs, tokenizer_path(), keep_words=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

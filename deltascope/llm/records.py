@@ -150,12 +150,14 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, id_column: str = "doc_id", text_column: str = "text",
-                  end_id: int = END_ID) -> str:
+                  end_id: int = END_ID, keep_words: bool = True) -> str:
     """Write the documents' token ids, in ascending order of their ids, NULL ids first.
 
     A NULL text is an empty one; every document ends with ``end_id``. Repeated
     rows are records of their own, next to each other. Rows with one id are
     dealt by a further number, so they may span files. Other columns are left out.
+    ``keep_words`` false: a task forgets the words it met when it ends, else they stay
+    in the Python worker, beside what its next tasks need.
     """
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
@@ -165,6 +167,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, id_column: str = "
                 out = [frame(struct.pack("<qB", 0 if i is None else i, (i is None) | 2 * own.wide) + body + end)
                        for i, body in zip(ids, own.encode(texts))]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+        if not keep_words:
+            own.known.clear()
 
     rows = docs.select(named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text"))
     rows = rows.withColumn("own", F.monotonically_increasing_id())
@@ -276,10 +280,10 @@ def read_shuffled(spark: SparkSession, path: str, index: str, seed: int = 5, epo
 
 
 def export(docs: DataFrame, tokenizer: str, path: str | None = None, id_column: str = "doc_id",
-           text_column: str = "text") -> DataFrame:
+           text_column: str = "text", keep_words: bool = True) -> DataFrame:
     """Write records and index, under the shared folder if no path is given, and read their digests back."""
     spark = docs.sparkSession
     path = path or work_dir(spark, "records")
-    write_records(docs, path, tokenizer, id_column, text_column)
+    write_records(docs, path, tokenizer, id_column, text_column, keep_words=keep_words)
     write_index(spark, path, path + "-index")
     return read_digests(spark, path, path + "-index")

@@ -81,3 +81,21 @@ def test_odd_and_empty_documents(spark, sf, odd_docs, no_docs):
             columns = docs.columns
             docs = stage(spark, docs, sf).persist()
             assert name == "token files" or docs.columns == columns
+
+
+def test_token_files_leave_no_words_in_the_workers(spark):
+    import os
+
+    from deltascope.llm import records
+    from deltascope.llm.queries import tokenizer_path
+    docs = spark.createDataFrame([(i, f"word{i} and other{i}, words") for i in range(40)], "doc_id long, text string")
+    path = tokenizer_path()
+
+    def left(_):
+        yield os.getpid(), len(records.encoder(path).known)
+
+    got = sorted(tuple(r) for r in corpus_pipeline.tokens(spark, docs, "").collect())
+    assert got == sorted(tuple(r) for r in records.export(docs, path, keep_words=False).collect())
+    met = spark.sparkContext.parallelize(range(8), 8).mapPartitions(left).collect()
+    assert all(n == 0 for _, n in met), met
+    assert got == sorted(tuple(r) for r in records.export(docs, path).collect())
