@@ -15,6 +15,7 @@ Files hold ascending ids; a file's number is in its name.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import struct
 import zlib
@@ -37,6 +38,7 @@ CACHE_PIECES = 700_000
 ODD = re.compile(r"[\x1c-\x1f]|<\|")
 #: A piece that lower-cases the same way everywhere: Latin letters, then full stops and commas.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+MARKS = re.compile(r"[.,!?;:]+")
 
 
 def masked(checksum: int) -> int:
@@ -49,15 +51,28 @@ def frame(payload: bytes) -> bytes:
                      struct.pack("<I", masked(zlib.crc32(payload)))))
 
 
+class Words(dict):
+    """Numbers of pieces in the order in which they were first looked up; ``new`` lists those without ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+
 class Encoder:
     """Texts to ids with a tokenizers file, word for word the same as encoding the whole text.
 
     White space ends a word for this kind of tokenizer (``end_of_word_suffix``)
     and gives no token, so a text is the sequence of its white-space-separated
     pieces. Pieces met for the first time are encoded together and their ids
-    remembered; a text with characters on which the two notions of white space
-    differ, or with a special token's opening, is encoded whole, and so is
-    every text for another kind of tokenizer.
+    remembered, in one array in which a piece has a place; a text with characters
+    on which the two notions of white space differ, or with a special token's
+    opening, is encoded whole, and so is every text for another kind of tokenizer.
     """
 
     def __init__(self, path: str, cache: int = CACHE_PIECES):
@@ -76,54 +91,89 @@ class Encoder:
         self.wide = self.tokenizer.get_vocab_size() > 65536
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.limit = cache
-        self.known: dict[str, bytes] = {}
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def learn(self, pieces: set[str]) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all pieces met so far."""
+        self.known = Words()
+        self.ids = np.empty(1 << 12, dtype=self.kind)  # of all pieces; ``used`` of them
+        self.used = 0
+        self.spans = np.empty((1 << 10, 2), dtype=np.int64)  # start and length of each piece's ids
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+
+    def store(self, ids: np.ndarray) -> int:
+        """Place of the first of these ids, put after all others."""
+        start, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids[:start], np.empty(max(self.used, start // 2), dtype=self.kind)])
+        self.ids[start:self.used] = ids
+        return start
+
+    def gather(self, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these spans, one after the other, and where each ends among them."""
+        starts, sizes = spans.T
+        ends = np.cumsum(sizes)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)], ends
+
+    def learn(self) -> None:
         """Encode words not met before: plain ones a few hundred at a time, the others one by one."""
-        split: list[tuple[str, str, str]] = []
-        parts: set[str] = set()
-        for p in pieces:
+        known = self.known
+        first = len(known) - len(known.new)
+        plain: list[int] = []  # places in the list of new pieces
+        odd: list[int] = []
+        split: list[tuple[int, int, int]] = []
+        none = known[""]
+        for k, p in enumerate(known.new):  # grows by the parts that are new themselves
             m = PLAIN.fullmatch(p)
-            if m:
-                word, tail = m[1].lower(), m[2]
-                split.append((p, word, tail))
-                parts.add(word)
-                if tail:
-                    parts.add(tail)
+            if m is None:
+                (plain if MARKS.fullmatch(p) else odd).append(k)
+            elif (word := m[1].lower()) == p:
+                plain.append(k)
             else:
-                self.known[p] = self.whole(p)
-        todo = [x for x in parts if x not in self.known]
-        for i in range(0, len(todo), 500):
-            some = todo[i:i + 500]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
+                split.append((first + k, known[word], known[m[2]]))
+        new, known.new = known.new, []
+        if len(known) > len(self.spans):
+            self.spans = np.concatenate([self.spans, np.empty((len(known) - len(self.spans) // 2, 2), dtype=np.int64)])
+        spans = self.spans
+        for i in range(0, len(plain), 500):
+            some = plain[i:i + 500]
+            ids = np.array(self.plain.encode_batch_fast([" ".join([new[k] for k in some])], add_special_tokens=False)[0].ids, dtype=self.kind)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some):
-                starts = [0, *ends[:-1].tolist()]
-                for x, a, b in zip(some, starts, ends.tolist()):
-                    self.known[x] = ids[a:b].tobytes()
+                at, starts = np.array(some) + first, np.concatenate([[0], ends[:-1]])
+                spans[at, 0], spans[at, 1] = starts + self.store(ids), ends - starts
             else:  # a part that the tokenizer cuts further
-                for x in some:
-                    self.known[x] = self.whole(x)
-        for p, word, tail in split:
-            self.known[p] = self.known[word] + self.known[tail] if tail else self.known[word]
+                odd += some
+        for k in odd:
+            ids = self.whole(new[k])
+            spans[first + k] = self.store(ids), len(ids)
+        numbers, words, tails = np.array(split, dtype=np.int64).reshape(-1, 3).T
+        bare = tails == none
+        spans[numbers[bare]] = spans[words[bare]]
+        numbers, words, tails = numbers[~bare], words[~bare], tails[~bare]
+        ids, ends = self.gather(spans[np.stack([words, tails], axis=1).ravel()])
+        ends = ends[1::2]
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[:len(ends)]
+        spans[numbers, 0], spans[numbers, 1] = starts + self.store(ids), ends - starts
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > self.limit:
-            self.known.clear()
-        odd = [not self.cuts or bool(ODD.search(t)) for t in texts]
-        cut = [None if o else t.split() for t, o in zip(texts, odd)]
-        known = self.known
-        new = {p for words in cut if words for p in words if p not in known}
-        if new:
-            self.learn(new)
-        for text, words in zip(texts, cut):
-            yield self.whole(text) if words is None else b"".join([known[p] for p in words])
+            self.forget()
+        cut = [t.split() if self.cuts and not ODD.search(t) else None for t in texts]
+        counts = [len(words or ()) for words in cut]
+        pieces = itertools.chain.from_iterable(words for words in cut if words)
+        numbers = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=sum(counts))
+        if self.known.new:
+            self.learn()
+        ids, ends = self.gather(self.spans[numbers])
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)].tolist()
+        for text, words, a, b in zip(texts, cut, bounds, bounds[1:]):
+            yield (self.whole(text) if words is None else ids[int(a):int(b)]).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -132,7 +182,7 @@ def encoder(path: str) -> Encoder:
 
 
 #: Characters encoded together.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
@@ -168,7 +218,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, id_column: str = "
                        for i, body in zip(ids, own.encode(texts))]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
         if not keep_words:
-            own.known.clear()
+            own.forget()
 
     rows = docs.select(named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text"))
     rows = rows.withColumn("own", F.monotonically_increasing_id())

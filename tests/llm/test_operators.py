@@ -508,6 +508,36 @@ def test_components_of_a_chain(spark):
 
 # 9 records
 
+def test_pieces_of_a_slice_are_looked_up_once_and_share_ids():
+    """One lookup a word; capitals have the place of their lower-case word, and slices of any cut give the tokenizer's ids."""
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizer_path())
+    own = records.Encoder(tokenizer_path())
+    looked = []
+
+    class Counted(records.Words):
+        def __getitem__(self, piece):
+            looked.append(piece)
+            return super().__getitem__(piece)
+
+    texts = ["Word word WORD word, ?! ...", "", " \n", "a\x1cb word", "<|im_end|> word", "ÀÉ? straße ß. 漢字 x1 don't " + "é" * 300, "word."]
+    own.known = Counted()
+    assert list(own.encode(["word word"]))[0] == np.array(tok.encode("word word", add_special_tokens=False).ids, "<u2").tobytes()
+    assert own.spans[0].tolist() == [0, own.used]
+    looked.clear()
+    list(own.encode(["word word", "word"]))
+    assert looked == ["word"] * 3
+    used = own.used
+    list(own.encode(["Word WORD"]))
+    assert own.used == used and {"Word", "WORD", "word"} <= set(own.known)
+    for some in (texts, texts[::-1], texts[:1], texts + texts):
+        got = list(own.encode(some))
+        assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in some]
+    own.forget()
+    assert not own.known and list(own.encode(texts)) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert list(own.encode([])) == []
+
+
 def test_records_equal_the_tokenizer(spark, sf, odd_docs, tmp_path):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path())
